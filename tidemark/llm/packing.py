@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LENGTH, CLOSING, BUCKETS = 1024, 0, 256
-#: Chunks whose ids a Python worker remembers; at the limit it forgets all and goes on.
-REMEMBERED = 300_000
+#: Chunks whose ids a Python worker remembers in each of two generations; a full one becomes the old one.
+REMEMBERED = 350_000
 
 
 def tokenizer_path() -> str:
@@ -51,6 +51,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -60,15 +61,16 @@ class Encoder:
         text = text or ""
         # a lone surrogate is in no valid text
         chunks = text.replace(" ", "\ud800 ").split("\ud800")
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
         new = set(chunks).difference(known)
         if any(c.isspace() or not c for c in new):
             return np.frombuffer(self._ids([text])[0], dtype="<u4")
         if new:
-            new = list(new)
-            known.update(zip(new, self._ids(new), strict=True))
+            known.update({c: old[c] for c in new if c in old})
+            if new := list(new.difference(known)):
+                known.update(zip(new, self._ids(new), strict=True))
         return np.frombuffer(b"".join(map(known.__getitem__, chunks)), dtype="<u4")
 
 
