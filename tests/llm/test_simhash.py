@@ -45,7 +45,7 @@ def cloud(rng, n, centres, spread):
 @pytest.mark.parametrize("bucket", [2, 8, 1024])
 def test_links_connect_what_brute_force_connects(spark, bucket):
     fps = cloud(random.Random(bucket), 120, 5, 6)
-    df = spark.createDataFrame([(s._signed(x),) for x in fps], "fp long")
+    df = spark.createDataFrame([(1, s._signed(x)) for x in fps], "r long, fp long")
     at = {s._signed(x): i for i, x in enumerate(fps)}
     edges = [(at[r.a], at[r.b]) for r in s.links(df, bucket).collect()]
     assert all(bin(fps[a] ^ fps[b]).count("1") <= 3 for a, b in edges)
@@ -88,3 +88,60 @@ def test_near_duplicates_by_brute_force(spark):
 
 def test_empty(spark):
     assert s.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def jaccard(a, b):
+    x, y = set(s.shingle_set(a, 5).tolist()), set(s.shingle_set(b, 5).tolist())
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def near_corpus(rng):
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for g in range(12):
+        base = say(rng.randint(60, 400))
+        rows.append((g * 100 + 50, " ".join(base)))
+        for i in range(rng.randint(0, 6)):
+            x = list(base)
+            for _ in range(rng.randint(0, max(1, len(x) // 100))):
+                x[rng.randrange(len(x))] = f"n{rng.randrange(10**6)}"
+            rows.append((g * 100 + rng.randrange(100), " ".join(x)))
+    return rows
+
+
+def test_similar_links_are_exact_and_found(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(near_corpus(random.Random(1)))]
+    text = dict(rows)
+    got = {(r.a, r.b) for r in s.similar_links(spark.createDataFrame(rows, "node long, text string")).collect()}
+    want = {(a, b) for a in text for b in text if a < b and jaccard(text[a], text[b]) >= 0.8}
+    label = {e: {i: i for i in text} for e in "gw"}
+    for e, pairs in (("g", got), ("w", want)):
+        for _ in text:
+            for a, b in pairs:
+                label[e][a] = label[e][b] = min(label[e][a], label[e][b])
+    assert got <= want and sum(label["g"][i] == label["w"][i] for i in text) >= 0.95 * len(text)
+
+
+def test_drop_near_duplicates_keeps_one_of_each_group(spark):
+    rows = near_corpus(random.Random(2))
+    rows += [(5000, None), (5001, ""), (rows[0][0], rows[0][1]), (None, rows[1][1]), (7000, "all alone here"), (7001, "all alone here too")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")
+    kept = s.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    groups: list[list[int]] = []
+    for i, (_, t) in enumerate(rows):
+        near = [g for g in groups if any(jaccard(t, rows[j][1]) >= 0.8 for j in g)]
+        for g in near:
+            groups.remove(g)
+        groups.append([i, *(j for g in near for j in g)])
+    want = sorted(min((rows[i][0] is None, rows[i][0] or 0) for i in g)[1] for g in groups)
+    assert sorted(r.doc_id for r in got) == want
+    assert s.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_dense_links_of_a_large_bucket():
+    rng = np.random.default_rng(0)
+    fp = np.unique(np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 32, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 32, 400).astype(np.uint64)))
+    e = s._dense_links(fp)
+    assert len(fp) > 32 and len(e) < 3 * len(fp) and {*e.ravel().tolist()} == {*fp.tolist()}

@@ -16,7 +16,7 @@ repeated rows keep their rows and share their component; null doc_id rows are ke
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .decontaminate import words_of
 
 SEED, RADIUS, BUCKET = 42, 3, 1024
+#: Near-duplicate stage: seeds of the word-set fingerprints, words a shingle, least Jaccard similarity.
+SEEDS, SHINGLE, SIMILARITY = (1, 2, 3, 4), 5, 0.8
 BLOCK = 1 << 17
 #: Hot variant keys up to this many are sent to every task; beyond it they are joined.
 BROADCAST_KEYS = 100_000
@@ -97,32 +100,32 @@ def _variants(fp: np.ndarray, width: int, shift: int, tag: int) -> tuple[np.ndar
 
 
 def half_keys(fps: DataFrame) -> DataFrame:
-    """fp, key: the 64 one-wildcard half variants of every fingerprint. key: half and wildcard above the half's bits."""
+    """fp, key: the 64 one-wildcard half variants of every fingerprint (r, fp). key: r, half and wildcard above the half's bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
+            fp, r = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.uint64)
             for at in range(0, len(fp), 4096):
                 some = fp[at : at + 4096]
                 keys = []
                 for half in (0, 1):
                     key, tag = _variants(some, 32, 32 * half, half)
-                    keys.append((tag << np.uint64(32)) | key)
+                    keys.append((r[at : at + 4096, None] << np.uint64(38)) | (tag << np.uint64(32)) | key)
                 key = np.concatenate(keys, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, 64).view(np.int64)), pa.array(key.ravel().view(np.int64))], names=["fp", "key"])
 
-    return fps.select("fp").mapInArrow(run, "fp long, key long")
+    return fps.select("fp", "r").mapInArrow(run, "fp long, key long")
 
 
 def hot_keys(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The half variants that more than bucket fingerprints might share: those of halves with over bucket / 2."""
-    halves = fps.select(F.explode(F.array(
+    halves = fps.select("r", F.explode(F.array(
         F.struct(F.lit(0).alias("half"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("v")),
         F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("fp", 32).alias("v")),
-    )).alias("h")).select("h.*")
-    hot = halves.groupBy("half", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket // 2)
-    wild = hot.select("half", "v", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))
-    return wild.select(F.expr("shiftleft(cast(half * 32 + i as bigint), 32) + (v & ~shiftleft(1L, i))").alias("key")).distinct()
+    )).alias("h")).select("r", "h.*")
+    hot = halves.groupBy("r", "half", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket // 2)
+    wild = hot.select("r", "half", "v", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))
+    return wild.select(F.expr("shiftleft(cast(r * 64 + half * 32 + i as bigint), 32) + (v & ~shiftleft(1L, i))").alias("key")).distinct()
 
 
 def finer_keys(hot: DataFrame) -> DataFrame:
@@ -148,47 +151,64 @@ def finer_keys(hot: DataFrame) -> DataFrame:
     return hot.select("fp", "key").mapInArrow(run, "fp long, key long, fine long")
 
 
-def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within runs of equal keys; the partition comes sorted by key, fine."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    rest: list[np.ndarray] = []
+def _forest_links(fp: np.ndarray) -> np.ndarray:
+    return np.array(forest(fp), dtype=np.uint64).reshape(-1, 2)
+
+
+def _dense_links(fp: np.ndarray, most: int = 32) -> np.ndarray:
+    """All links of a small bucket; of a larger one the forest and the pairs with its most central member."""
+    if len(fp) <= most:
+        i, j = np.triu_indices(len(fp), 1)
+        pairs = np.stack([fp[i], fp[j]], axis=1)
+        return pairs[_bits(pairs[:, 0] ^ pairs[:, 1]) <= RADIUS]
+    bits = (fp[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    middle = np.packbits(bits.sum(axis=0) * 2 > len(fp), bitorder="little").view("<u8")[0]
+    hub = fp[_bits(fp ^ middle).argmin()]
+    return np.concatenate([_forest_links(fp), np.stack([np.full(len(fp) - 1, hub), fp[fp != hub]], axis=1)])
+
+
+def _linker(within):
+    """Links within runs of equal keys, by within(bucket); the partition comes sorted by key, fine. Gives r, a, b with a < b."""
 
     def flush(cols: list[np.ndarray]) -> pa.RecordBatch:
         key, fine, fp = cols
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (fine[1:] != fine[:-1])]))
         size = np.diff(np.append(new, len(key)))
-        a, b = [], []
         two = new[size == 2]
-        if len(two):
-            x, y = fp[two].view(np.uint64), fp[two + 1].view(np.uint64)
-            near = _bits(x ^ y) <= RADIUS
-            a.append(x[near].view(np.int64)), b.append(y[near].view(np.int64))
+        x, y = fp[two].view(np.uint64), fp[two + 1].view(np.uint64)
+        near = _bits(x ^ y) <= RADIUS
+        found = [np.stack([key[two][near] >> 38, x[near].view(np.int64), y[near].view(np.int64)])]
         for s, n in zip(new[size > 2], size[size > 2], strict=True):
-            if edges := forest(fp[s : s + n].view(np.uint64)):
-                e = np.array(edges, dtype=np.uint64).view(np.int64)
-                a.append(e[:, 0]), b.append(e[:, 1])
-        none = np.zeros(0, np.int64)
-        a, b = (np.concatenate(a), np.concatenate(b)) if a else (none, none)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
-
-    for batch in batches:
-        cols = [batch.column(c).to_numpy() for c in ("key", "fine", "fp")]
-        if not len(cols[0]):
-            continue
-        rest = [np.concatenate(x) for x in zip(rest, cols, strict=True)] if rest else cols
-        key, fine, _ = rest
-        last = np.searchsorted(key, key[-1])
-        last += np.searchsorted(fine[last:], fine[-1])  # the last run may go on in the next batch
-        if last:
-            yield flush([x[:last] for x in rest])
-            rest = [x[last:] for x in rest]
-    if rest:
-        yield flush(rest)
-
-
-def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """a, b: links between distinct fingerprints, enough to connect all that are connected. fps: distinct fp."""
+            e = within(fp[s : s + n].view(np.uint64)).view(np.int64)
+            found.append(np.stack([np.full(len(e), key[s] >> 38), e[:, 0], e[:, 1]]))
+        r, a, b = np.concatenate(found, axis=1)
+        rows = np.unique(np.stack([r, np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["r", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] = []
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in ("key", "fine", "fp")]
+            if not len(cols[0]):
+                continue
+            rest = [np.concatenate(x) for x in zip(rest, cols, strict=True)] if rest else cols
+            key, fine, _ = rest
+            last = np.searchsorted(key, key[-1])
+            last += np.searchsorted(fine[last:], fine[-1])  # the last run may go on in the next batch
+            if last:
+                yield flush([x[:last] for x in rest])
+                rest = [x[last:] for x in rest]
+        if rest:
+            yield flush(rest)
+
+    return run
+
+
+def links(fps: DataFrame, bucket: int = BUCKET, dense: bool = False) -> DataFrame:
+    """r, a, b: links between distinct fingerprints (r, fp) of one r, enough to connect all that are connected.
+
+    dense: more of the links than a forest needs, for callers that check each link further.
+    """
     keys, hot = half_keys(fps), materialize(hot_keys(fps, bucket))
     n_hot = hot.count()
     zero = F.lit(0).cast("long").alias("fine")
@@ -198,7 +218,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
         side = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
         cold = keys.join(side, "key", "left_anti").select("key", zero, "fp")
         rows = cold.union(finer_keys(keys.join(side, "key", "left_semi").select("fp", "key")).select("key", "fine", "fp"))
-    return rows.repartition("key", "fine").sortWithinPartitions("key", "fine").mapInArrow(_link_runs, "a long, b long")
+    return rows.repartition("key", "fine").sortWithinPartitions("key", "fine").mapInArrow(_linker(_dense_links if dense else _forest_links), "r long, a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -223,12 +243,79 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fp and component_id, the least doc_id of its component, of every row."""
     own = materialize(fingerprints(docs))
     nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    edges = materialize(links(nodes.select("fp"), bucket))
+    edges = materialize(links(nodes.select(F.lit(0).cast("long").alias("r"), "fp"), bucket))
     named = edges.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
     labels = components(named.select(F.col("x").alias("a"), F.col("y").alias("b")).where("x is not null and y is not null"))
     of_fp = materialize(nodes.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id")))
     return own.join(of_fp, "fp")  # both sides are read from files: a fingerprint of many copies can be split
 
 
+def set_fingerprints(text: str | None, seeds: Sequence[int]) -> list[int]:
+    """For each seed the SimHash of the set of words (letters and digits, lower case): edits of a few words move few bits."""
+    words = {*words_of(text)}
+    if not words:
+        return [0] * len(seeds)
+    out = []
+    for seed in seeds:
+        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
+        ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(words), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """Distinct hashes of the n-word shingles, A-Z lower-cased; of the whole sequence if shorter; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = (b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else ()
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), dtype=np.uint64))
+
+
+def similar_links(texts: DataFrame, seeds: Sequence[int] = SEEDS, n: int = SHINGLE, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """a, b: pairs of nodes of texts (node, text; node distinct) with that Jaccard similarity of n-word shingles, met by a SimHash link.
+
+    Several independent fingerprints of the word set are linked by deletion variants; each link is checked exactly.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([set_fingerprints(t.as_py(), seeds) for t in batch.column(1)], dtype=np.uint64).reshape(-1, len(seeds))
+            node = np.repeat(batch.column(0).to_numpy(), len(seeds))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.tile(np.arange(len(seeds)), len(fps))), pa.array(fps.ravel().view(np.int64))], names=["node", "r", "fp"])
+
+    own = materialize(texts.select("node", "text").mapInArrow(prints, "node long, r long, fp long"))
+    first = materialize(own.groupBy("r", "fp").agg(F.min("node").alias("node")))
+    linked = materialize(links(first.select("r", "fp"), bucket, dense=True)).distinct()
+    end = lambda c, x: first.select("r", F.col("fp").alias(c), F.col("node").alias(x))
+    across = linked.join(end("a", "x"), ["r", "a"]).join(end("b", "y"), ["r", "b"]).select("x", "y")
+    alike = own.join(first.select("r", "fp", F.col("node").alias("x")), ["r", "fp"]).where("node <> x").select("x", F.col("node").alias("y"))
+    pairs = materialize(across.union(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([shingle_set(text.as_py(), n).view(np.int64)], pa.list_(pa.int64()))], names=["node", "s"])
+
+    shingles = materialize(texts.join(needed, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<long>"))
+    both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
+    shared = F.size(F.array_intersect("s", "t"))
+    return both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, seeds: Sequence[int] = SEEDS, n: int = SHINGLE, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """The documents, all columns, one of each group of exact or near copies: the one of least doc_id (null last)."""
+    names = docs.columns
+    keyed = materialize(docs.withColumn("_sh_row", F.monotonically_increasing_id()))
+    ids = keyed.select("_sh_row", F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
+    # exact copies: the least (doc_id, row) stands for its text
+    order = F.struct(F.col("_d").isNull(), "_d", "_sh_row")
+    firsts = materialize(ids.groupBy("_t").agg(F.min(order).alias("o")).select(F.col("o._sh_row").alias("node"), F.col("o._d").alias("d")))
+    texts = keyed.join(firsts.withColumnRenamed("node", "_sh_row"), "_sh_row", "left_semi").select(F.col("_sh_row").alias("node"), F.col("text").cast("string").alias("text"))
+    label = components(similar_links(texts, seeds, n, similarity, bucket))
+    named = firsts.join(label, "node", "left").select("node", "d", F.coalesce("label", "node").alias("label"))
+    stay = named.groupBy("label").agg(F.min(F.struct(F.col("d").isNull(), "d", "node")).alias("o")).select(F.col("o.node").alias("_sh_row"))
+    return keyed.join(materialize(stay), "_sh_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+
+
 def hex_of(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
