@@ -10,7 +10,7 @@ from tidemark.llm import packing as p
 from tokenizers import Tokenizer
 
 PLAIN = Tokenizer.from_file(p.tokenizer_path())
-ENCODER = p.Encoder(p.tokenizer_path(), limit=50)
+ENCODER = p.Encoder(p.tokenizer_path())
 
 
 @given(st.text(alphabet="ab é.,'s 1\n\t\x1c\x85 　<|endoftext|>", max_size=40))
@@ -19,6 +19,17 @@ def test_encoder_equals_tokenizer(text):
     assert ENCODER(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+@given(st.text(max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_encoder_on_any_text(text):
+    assert ENCODER(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_on_extreme_texts():
+    for t in ("a" * 20000, " " * 20000, "\n" * 600 + "x", "!?" * 9000, "é" * 4999, "ab" * 2400 + " 1", "x" + " " * 499 + "y", "<|endoftext|>" * 300):
+        assert ENCODER(t).tolist() == PLAIN.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_patterns_use_every_piece_once(seed):
     rng = random.Random(seed)
