@@ -130,11 +130,10 @@ def cutoffs(stats: DataFrame, labels: DataFrame, strata: Sequence[str] = STRATA,
 
 def verdict(levels: dict[str, int], strata: Sequence[str] = STRATA) -> Column:
     """kept: false if base_failed, else false if the stratum's certified level rejects the text."""
-    rejected = F.lit(False)
+    level = F.lit(0)
     for s, n in levels.items():
-        if n:
-            rejected = rejected | ((stratum(strata) == s) & (strikes() > LEVELS - n))
-    return ~base_failed() & ~rejected
+        level = F.when(stratum(strata) == s, F.lit(n)).otherwise(level)
+    return ~base_failed() & (strikes() <= LEVELS - level)
 
 
 def rule_columns(docs: DataFrame, labels: DataFrame, strata: Sequence[str] = STRATA, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -149,9 +148,10 @@ def rule_columns(docs: DataFrame, labels: DataFrame, strata: Sequence[str] = STR
 
 def filter_documents(docs: DataFrame, labels: DataFrame, strata: Sequence[str] = STRATA, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The documents kept, with all their columns, whatever these are called."""
-    stats = statistics(docs, ["doc_id", "lang"])
-    levels = cutoffs(stats, labels, strata, alpha, delta)
+    levels = cutoffs(materialize(statistics(docs, ["doc_id", "lang"])), labels, strata, alpha, delta)
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_qr_row"), "text", "doc_id", "lang")
-    kept = statistics(row, ["_qr_row", "lang"]).where(verdict(levels, strata))
+    # an outer explode, as the optimizer would push a filter below the statistics and compute them once a mention
+    judged = statistics(row, ["_qr_row", "lang"]).select(F.when(verdict(levels, strata), F.array("_qr_row")).alias("_qr_kept"))
+    kept = judged.select(F.explode_outer("_qr_kept").alias("_qr_row")).where("_qr_row is not null")
     return kept.select([F.col("_qr_row").getField(c).alias(c) for c in names])
