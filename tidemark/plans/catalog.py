@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import tidemark.functions.spectral
+import tidemark.operators.evaluate
+import tidemark.operators.stats
+import tidemark.operators.windows
+import tidemark.sources.tables  # noqa: F401
+from tidemark.functions import numeric
+from tidemark.plans.portable import STEPS, Step, duckdb_sql, frame
+
+
+def _public() -> list[str]:
+    return [n for n, s in STEPS.items() if isinstance(s, Step) and s.public]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    steps = {n: (lambda spark, sf_dir, n=n: frame(spark, sf_dir, n)) for n in _public()}
+    return steps | numeric.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: duckdb_sql(n) for n in _public()}
