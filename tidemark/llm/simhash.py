@@ -270,9 +270,11 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), dtype=np.uint64))
 
 
-def similar_links(texts: DataFrame, seeds: Sequence[int] = SEEDS, n: int = SHINGLE, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+def similar_links(texts: DataFrame, seeds: Sequence[int] = SEEDS, n: int = SHINGLE, similarity: float = SIMILARITY, bucket: int = BUCKET, only: DataFrame | None = None) -> DataFrame:
     """a, b: pairs of nodes of texts (node, text; node distinct) with that Jaccard similarity of n-word shingles, met by a SimHash link.
 
+    only: the nodes to compare, if not all; joined to the fingerprints, not to the texts.
+
     Several independent fingerprints of the word set are linked by deletion variants; each link is checked exactly.
     """
 
@@ -282,7 +284,8 @@ def similar_links(texts: DataFrame, seeds: Sequence[int] = SEEDS, n: int = SHING
             node = np.repeat(batch.column(0).to_numpy(), len(seeds))
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.tile(np.arange(len(seeds)), len(fps))), pa.array(fps.ravel().view(np.int64))], names=["node", "r", "fp"])
 
-    own = materialize(texts.select("node", "text").mapInArrow(prints, "node long, r long, fp long"))
+    own = texts.select("node", "text").mapInArrow(prints, "node long, r long, fp long")
+    own = materialize(own if only is None else own.join(only, "node", "left_semi"))
     first = materialize(own.groupBy("r", "fp").agg(F.min("node").alias("node")))
     linked = materialize(links(first.select("r", "fp"), bucket, dense=True)).distinct()
     end = lambda c, x: first.select("r", F.col("fp").alias(c), F.col("node").alias(x))
@@ -296,7 +299,8 @@ def similar_links(texts: DataFrame, seeds: Sequence[int] = SEEDS, n: int = SHING
             for node, text in zip(batch.column(0), batch.column(1), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([shingle_set(text.as_py(), n).view(np.int64)], pa.list_(pa.int64()))], names=["node", "s"])
 
-    shingles = materialize(texts.join(needed, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<long>"))
+    # the texts are shuffled at any size of the corpus, as no bound on the nodes makes a broadcast safe
+    shingles = materialize(texts.join(needed.hint("merge"), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<long>"))
     both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
     return both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b")
@@ -310,11 +314,11 @@ def drop_near_duplicates(docs: DataFrame, seeds: Sequence[int] = SEEDS, n: int =
     # exact copies: the least (doc_id, row) stands for its text
     order = F.struct(F.col("_d").isNull(), "_d", "_sh_row")
     firsts = materialize(ids.groupBy("_t").agg(F.min(order).alias("o")).select(F.col("o._sh_row").alias("node"), F.col("o._d").alias("d")))
-    texts = keyed.join(firsts.withColumnRenamed("node", "_sh_row"), "_sh_row", "left_semi").select(F.col("_sh_row").alias("node"), F.col("text").cast("string").alias("text"))
-    label = components(similar_links(texts, seeds, n, similarity, bucket))
+    texts = keyed.select(F.col("_sh_row").alias("node"), F.col("text").cast("string").alias("text"))
+    label = components(similar_links(texts, seeds, n, similarity, bucket, only=firsts.select("node")))
     named = firsts.join(label, "node", "left").select("node", "d", F.coalesce("label", "node").alias("label"))
     stay = named.groupBy("label").agg(F.min(F.struct(F.col("d").isNull(), "d", "node")).alias("o")).select(F.col("o.node").alias("_sh_row"))
-    return keyed.join(materialize(stay), "_sh_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    return keyed.join(materialize(stay).hint("merge"), "_sh_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
 
 
 def hex_of(fp: str = "fp"):
