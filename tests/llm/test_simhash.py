@@ -145,3 +145,41 @@ def test_dense_links_of_a_large_bucket():
     fp = np.unique(np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 32, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 32, 400).astype(np.uint64)))
     e = s._dense_links(fp)
     assert len(fp) > 32 and len(e) < 3 * len(fp) and {*e.ravel().tolist()} == {*fp.tolist()}
+
+
+def edited_copies(rng, n, words=300):
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        x = list(base)
+        for at in rng.sample(range(words), rng.randint(1, 6)):
+            x[at] = f"n{rng.randrange(10**6)}"
+        out.append(" ".join(x))
+    return out
+
+
+def groups_of(nodes, pairs):
+    label = {i: i for i in nodes}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        label[y] = x
+    return {i: root(i) for i in nodes}
+
+
+def brute_links(texts):
+    sets = [set(s.shingle_set(t, 5).tolist()) for t in texts]
+    return {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+
+def test_groups_of_many_edited_copies_are_whole(spark):
+    rng = random.Random(3)
+    texts = edited_copies(rng, 400) + edited_copies(rng, 30) + [t for _, t in near_corpus(rng)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(groups_of(range(len(texts)), brute_links(texts)).values())
+    assert {r.doc_id for r in s.drop_near_duplicates(docs).collect()} == want

@@ -16,7 +16,7 @@ repeated rows keep their rows and share their component; null doc_id rows are ke
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .decontaminate import words_of
 
 SEED, RADIUS, BUCKET = 42, 3, 1024
-#: Near-duplicate stage: seeds of the word-set fingerprints, words a shingle, least Jaccard similarity.
-SEEDS, SHINGLE, SIMILARITY = (1, 2, 3, 4), 5, 0.8
+#: Near-duplicate stage: words a shingle, least Jaccard similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Its join: nodes of a hash that meet in pairs, texts of which one is counted for the order, hashes ordered by count, side of a tile.
+RUN, SAMPLE, ORDERED, TILE = 64, 8, 100_000, 512
 BLOCK = 1 << 17
 #: Hot variant keys up to this many are sent to every task; beyond it they are joined.
 BROADCAST_KEYS = 100_000
@@ -250,19 +251,6 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return own.join(of_fp, "fp")  # both sides are read from files: a fingerprint of many copies can be split
 
 
-def set_fingerprints(text: str | None, seeds: Sequence[int]) -> list[int]:
-    """For each seed the SimHash of the set of words (letters and digits, lower case): edits of a few words move few bits."""
-    words = {*words_of(text)}
-    if not words:
-        return [0] * len(seeds)
-    out = []
-    for seed in seeds:
-        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
-        ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(words), bitorder="little").view("<u8")[0]))
-    return out
-
-
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Distinct hashes of the n-word shingles, A-Z lower-cased; of the whole sequence if shorter; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -270,28 +258,149 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), dtype=np.uint64))
 
 
-def similar_links(texts: DataFrame, seeds: Sequence[int] = SEEDS, n: int = SHINGLE, similarity: float = SIMILARITY, bucket: int = BUCKET, only: DataFrame | None = None) -> DataFrame:
-    """a, b: pairs of nodes of texts (node, text; node distinct) with that Jaccard similarity of n-word shingles, met by a SimHash link.
+def _prefix(s: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of the set s in the order (count if common, hash), cut into its rare and its common hashes.
+
+    Two sets of that similarity share a hash of their prefixes, whatever the order, as long as it is one for all sets.
+    """
+    if not len(s):
+        return np.zeros(1, dtype=np.int64), s.view(np.int64)  # sets without words meet each other
+    at = np.searchsorted(common, s)
+    at[at == len(common)] = 0
+    count = np.where(common[at] == s, counts[at], 0) if len(common) else np.zeros(len(s), dtype=np.int64)
+    first = np.lexsort((s, count))[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
+    rare = count[first] == 0
+    return s[first][rare].view(np.int64), s[first][~rare].view(np.int64)
+
 
-    only: the nodes to compare, if not all; joined to the fingerprints, not to the texts.
+def _meet(similarity: float, run_of: int):
+    """a, b, t: pairs of nodes with an equal t that may be similar, t null; of a run of over run_of nodes the pairs with its least node, t kept.
 
-    Several independent fingerprints of the word set are linked by deletion variants; each link is checked exactly.
+    The partition comes sorted by t. A pair's first common hash leaves enough of both sets behind it, so no similar pair is lost by that test.
     """
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        t, node, size, pos = cols
+        new = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        length = np.diff(np.append(new, len(t)))
+        found = [np.zeros((2, 0), dtype=np.int64)]
+        for k in np.unique(length[(length > 1) & (length <= run_of)]):
+            i, j = np.triu_indices(k, 1)
+            s = new[length == k][:, None]
+            x, y = (s + i).ravel(), (s + j).ravel()
+            near = np.minimum(size[x] - pos[x], size[y] - pos[y]) * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-6
+            x, y = node[x[near]], node[y[near]]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], names=["a", "b", "t"])
+        for s, k in zip(new[length > run_of], length[length > run_of], strict=True):
+            some = node[s : s + k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, some.min())), pa.array(some), pa.array(t[s : s + k])], names=["a", "b", "t"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] = []
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in ("t", "node", "size", "pos")]
+            if not len(cols[0]):
+                continue
+            rest = [np.concatenate(x) for x in zip(rest, cols, strict=True)] if rest else cols
+            last = np.searchsorted(rest[0], rest[0][-1])  # the last run may go on in the next batch
+            if last:
+                yield from flush([x[:last] for x in rest])
+                rest = [x[last:] for x in rest]
+        if rest:
+            yield from flush(rest)
+
+    return run
+
+
+def _tile(similarity: float):
+    """a, b: for each odd row of a tile, one similar row of each other label."""
+
+    def run(table: pa.Table) -> pa.Table:
+        odd = table.column("odd").to_numpy()
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        s = table.column("s").combine_chunks()
+        size = np.diff(s.offsets.to_numpy())
+        ids = np.unique(s.flatten().to_numpy(), return_inverse=True)[1]
+        ends = np.cumsum(size)
+        alls = np.flatnonzero(~odd)
+        of = np.concatenate([np.zeros(0, dtype=np.int64), *(ids[ends[i] - size[i] : ends[i]] for i in alls)])
+        stop = np.cumsum(size[alls])
+        mark = np.zeros(len(ids) + 1, dtype=bool)
+        found = []
+        for x in np.flatnonzero(odd):
+            mine = ids[ends[x] - size[x] : ends[x]]
+            mark[mine] = True
+            hits = np.concatenate([[0], np.cumsum(mark[of])])
+            mark[mine] = False
+            shared = hits[stop] - hits[stop - size[alls]]
+            near = alls[(shared >= similarity * (size[x] + size[alls] - shared)) & (label[alls] != label[x])]
+            found += [(min(node[x], node[y]), max(node[x], node[y])) for y in near[np.unique(label[near], return_index=True)[1]]]
+        e = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": e[:, 0], "b": e[:, 1]})
+
+    return run
+
+
+def _across(hot: DataFrame, verified: DataFrame, shingles: DataFrame, similarity: float, tile: int) -> DataFrame | None:
+    """a, b: similar pairs between the components of the verified links that share a hash of hot (a: its least node, b, t); none if none do.
+
+    Nodes tied by such hashes are a group. All its nodes outside its largest component meet all its nodes, in tiles of about tile x tile.
+    """
+    label = materialize(components(verified))
+    named = materialize(hot.select("t", "a", F.col("b").alias("node")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    open_ = materialize(named.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t"))
+    n_open = open_.count()
+    if not n_open:
+        return None
+    left = materialize(named.join(F.broadcast(open_) if n_open <= BROADCAST_KEYS else open_, "t", "left_semi").select("a", "node", "label").distinct())
+    group = components(left.select("a", F.col("node").alias("b")))
+    own = materialize(left.select("node", F.col("label").alias("c")).distinct().join(group, "node", "left").select("node", F.col("c").alias("label"), F.coalesce("label", "node").alias("g")))
+    sizes = own.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("k"))
+    sizes = materialize(sizes.select("g", F.col("m.label").alias("main"), F.ceil(F.col("k") / tile).alias("nj"), F.ceil((F.col("k") - F.col("m.k")) / tile).alias("ni")))
+    rows = own.join(sizes, "g").join(shingles, "node").withColumn("h", F.xxhash64("node"))
+    every = rows.select("g", F.explode(F.expr("sequence(0L, ni - 1)")).alias("i"), F.expr("pmod(h, nj)").alias("j"), F.lit(False).alias("odd"), "node", "label", "s")
+    odd = rows.where("label <> main").select("g", F.expr("pmod(h, ni)").alias("i"), F.explode(F.expr("sequence(0L, nj - 1)")).alias("j"), F.lit(True).alias("odd"), "node", "label", "s")
+    return every.union(odd).groupBy("g", "i", "j").applyInArrow(_tile(similarity), "a long, b long")
+
+
+def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, only: DataFrame | None = None, run_of: int = RUN, sample: int = SAMPLE, tile: int = TILE) -> DataFrame:
+    """a, b: pairs of nodes of texts (node, text; node distinct) with that Jaccard similarity of n-word shingles, enough to connect all that are connected.
+
+    only: the nodes to compare, if not all; joined to the prefixes, not to the texts.
+
+    An exact prefix-filter join: similar sets share one of their rarest hashes. Nodes of a hash in up to run_of prefixes meet in pairs; of
+    a more common one all meet its least node first, then only those that are still in different components meet (_across). Which hashes
+    count as common, from one text in sample, orders the work and leaves the result alone.
+    """
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), n).view(np.int64))], names=["t"])
+
+    seen = texts.where(F.pmod(F.xxhash64("node"), F.lit(sample)) == 0).select("text").mapInArrow(every, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("k"))
+    top = seen.where(F.col("k") * sample > run_of).orderBy(F.desc("k"), "t").limit(ORDERED).toArrow()
+    common, counts = top.column("t").to_numpy().view(np.uint64), top.column("k").to_numpy()
+    common, counts = common[np.argsort(common)], counts[np.argsort(common)]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([set_fingerprints(t.as_py(), seeds) for t in batch.column(1)], dtype=np.uint64).reshape(-1, len(seeds))
-            node = np.repeat(batch.column(0).to_numpy(), len(seeds))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.tile(np.arange(len(seeds)), len(fps))), pa.array(fps.ravel().view(np.int64))], names=["node", "r", "fp"])
+            sets = [shingle_set(t.as_py(), n) for t in batch.column(1)]
+            both = [_prefix(s, similarity, common, counts) for s in sets]
+            size = pa.array([len(s) for s in sets], pa.int64())
+            rare, hot = (pa.array([x[c] for x in both], pa.list_(pa.int64())) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, rare, hot], names=["node", "size", "rare", "hot"])
 
-    own = texts.select("node", "text").mapInArrow(prints, "node long, r long, fp long")
+    own = texts.select("node", "text").mapInArrow(prefixes, "node long, size long, rare array<long>, hot array<long>")
     own = materialize(own if only is None else own.join(only, "node", "left_semi"))
-    first = materialize(own.groupBy("r", "fp").agg(F.min("node").alias("node")))
-    linked = materialize(links(first.select("r", "fp"), bucket, dense=True)).distinct()
-    end = lambda c, x: first.select("r", F.col("fp").alias(c), F.col("node").alias(x))
-    across = linked.join(end("a", "x"), ["r", "a"]).join(end("b", "y"), ["r", "b"]).select("x", "y")
-    alike = own.join(first.select("r", "fp", F.col("node").alias("x")), ["r", "fp"]).where("node <> x").select("x", F.col("node").alias("y"))
-    pairs = materialize(across.union(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    rare = own.select("node", "size", F.posexplode("rare").alias("pos", "t")).select("t", "node", "size", F.col("pos").cast("long").alias("pos"))
+    met = rare.repartition("t").sortWithinPartitions("t").mapInArrow(_meet(similarity, run_of), "a long, b long, t long")
+    hot = own.select("node", F.explode("hot").alias("t"))
+    least = hot.groupBy("t").agg(F.min("node").alias("a"))  # at most ORDERED rows
+    met = materialize(met.union(hot.join(F.broadcast(least), "t").select("a", F.col("node").alias("b"), "t")))
+    pairs = materialize(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,10 +412,12 @@ def similar_links(texts: DataFrame, seeds: Sequence[int] = SEEDS, n: int = SHING
     shingles = materialize(texts.join(needed.hint("merge"), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<long>"))
     both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
-    return both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b")
+    verified = materialize(both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b"))
+    more = _across(met.where("t is not null"), verified, shingles, similarity, tile)
+    return verified if more is None else verified.union(more)
 
 
-def drop_near_duplicates(docs: DataFrame, seeds: Sequence[int] = SEEDS, n: int = SHINGLE, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns, one of each group of exact or near copies: the one of least doc_id (null last)."""
     names = docs.columns
     keyed = materialize(docs.withColumn("_sh_row", F.monotonically_increasing_id()))
@@ -315,7 +426,7 @@ def drop_near_duplicates(docs: DataFrame, seeds: Sequence[int] = SEEDS, n: int =
     order = F.struct(F.col("_d").isNull(), "_d", "_sh_row")
     firsts = materialize(ids.groupBy("_t").agg(F.min(order).alias("o")).select(F.col("o._sh_row").alias("node"), F.col("o._d").alias("d")))
     texts = keyed.select(F.col("_sh_row").alias("node"), F.col("text").cast("string").alias("text"))
-    label = components(similar_links(texts, seeds, n, similarity, bucket, only=firsts.select("node")))
+    label = components(similar_links(texts, n, similarity, only=firsts.select("node")))
     named = firsts.join(label, "node", "left").select("node", "d", F.coalesce("label", "node").alias("label"))
     stay = named.groupBy("label").agg(F.min(F.struct(F.col("d").isNull(), "d", "node")).alias("o")).select(F.col("o.node").alias("_sh_row"))
     return keyed.join(materialize(stay).hint("merge"), "_sh_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
