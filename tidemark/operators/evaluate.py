@@ -94,14 +94,36 @@ SELECT round(avg(d) + 1e-9, 6) AS delta, round(percentile(d, 0.025) + 1e-9, 6) A
 FROM (SELECT b, avg(ra - rb) AS d FROM (
   SELECT d.b, a.repeat, a.y, sum(CASE WHEN a.pred = a.y THEN d.mult ELSE 0 END) / sum(d.mult) AS ra, sum(CASE WHEN p.pred = a.y THEN d.mult ELSE 0 END) / sum(d.mult) AS rb
   FROM {draws} d JOIN {verdicts} a ON a.subject = d.subject JOIN {prior_verdicts} p ON p.subject = a.subject AND p.repeat = a.repeat GROUP BY d.b, a.repeat, a.y) GROUP BY b)""")
+step("permuted", """
+SELECT a.b, a.subject, c.label FROM (SELECT n.b, s.subject, row_number() OVER (PARTITION BY n.b ORDER BY s.subject) AS rn FROM {subjects} s JOIN {numbers} n ON n.b >= 0) a
+JOIN (SELECT n.b, s.label, row_number() OVER (PARTITION BY n.b ORDER BY md5(concat(CAST(s.subject AS string), '#', CAST(n.b AS string)))) AS rn FROM {subjects} s JOIN {numbers} n ON n.b >= 0) c ON a.b = c.b AND a.rn = c.rn""", public=False)
+step("null_folds", """
+SELECT b, subject, label, (row_number() OVER (PARTITION BY b, label ORDER BY md5(concat(CAST(subject AS string), '#f', CAST(b AS string))), subject) - 1) % 5 AS fold FROM {permuted}""", public=False)
+step("subject_sums", "SELECT subject, j, sum(v) AS s, count(*) AS n FROM {cells3} GROUP BY subject, j", public=False)
+# centroids are sums of subjects, so squared distances (less the epoch's own square, alike for all classes) are sums of these products
+step("epoch_dots", "SELECT c.subject, c.epoch, t.subject AS other, sum(c.v * t.s) AS dot FROM {cells3} c JOIN {subject_sums} t ON t.j = c.j GROUP BY c.subject, c.epoch, t.subject", public=False)
+step("subject_dots", "SELECT x.subject AS one, y.subject AS other, sum(x.s * y.s) AS dot FROM {subject_sums} x JOIN {subject_sums} y ON x.j = y.j GROUP BY x.subject, y.subject", public=False)
+step("null_train", """
+SELECT t.b, k.fold, t.label, t.subject, c.n FROM {null_folds} t JOIN (SELECT DISTINCT b, fold FROM {null_folds}) k ON k.b = t.b AND k.fold <> t.fold
+JOIN (SELECT subject, max(n) AS n FROM {subject_sums} GROUP BY subject) c ON c.subject = t.subject""", public=False)
+step("null_norms", """
+SELECT m.b, m.fold, m.label, m.n, q.dot / m.n / m.n AS norm FROM (SELECT b, fold, label, sum(n) AS n FROM {null_train} GROUP BY b, fold, label) m
+JOIN (SELECT x.b, x.fold, x.label, sum(d.dot) AS dot FROM {null_train} x JOIN {null_train} y ON x.b = y.b AND x.fold = y.fold AND x.label = y.label
+      JOIN {subject_dots} d ON d.one = x.subject AND d.other = y.subject GROUP BY x.b, x.fold, x.label) q ON q.b = m.b AND q.fold = m.fold AND q.label = m.label""", public=False)
+step("null_distances", """
+SELECT s.b, s.subject, s.y, s.epoch, s.k, m.norm - 2 * s.dot / m.n AS d FROM (
+  SELECT f.b, f.fold, f.label AS y, e.subject, e.epoch, t.label AS k, sum(e.dot) AS dot FROM {epoch_dots} e JOIN {null_folds} f ON f.subject = e.subject
+  JOIN {null_train} t ON t.b = f.b AND t.fold = f.fold AND t.subject = e.other GROUP BY f.b, f.fold, f.label, e.subject, e.epoch, t.label) s
+JOIN {null_norms} m ON m.b = s.b AND m.fold = s.fold AND m.label = s.k""", public=False)
+step("null_verdicts", """
+SELECT b, subject, y, k AS pred FROM (SELECT *, row_number() OVER (PARTITION BY b, subject ORDER BY g DESC, k) AS rn FROM (
+  SELECT b, subject, y, k, avg(ln(greatest(least(p, 1), 1e-7))) AS g FROM (
+    SELECT b, subject, y, k, exp(lo - d) / sum(exp(lo - d)) OVER (PARTITION BY b, epoch) AS p FROM (SELECT *, min(d) OVER (PARTITION BY b, epoch) AS lo FROM {null_distances})) GROUP BY b, subject, y, k)) WHERE rn = 1""", public=False)
 step("null_scores", """
-SELECT b, avg(CASE WHEN v.pred = q.label THEN 1e0 ELSE 0e0 END) AS acc FROM (
-  SELECT b, subject, label FROM (SELECT n.b, s.subject, row_number() OVER (PARTITION BY n.b ORDER BY s.subject) AS rn FROM {subjects} s JOIN {numbers} n ON n.b >= 0) a
-  JOIN (SELECT n.b AS b2, s.label, row_number() OVER (PARTITION BY n.b ORDER BY md5(concat(CAST(s.subject AS string), '#', CAST(n.b AS string)))) AS rn2 FROM {subjects} s JOIN {numbers} n ON n.b >= 0) c ON a.b = c.b2 AND a.rn = c.rn2) q
-JOIN {verdicts} v ON v.subject = q.subject AND v.repeat = 0 GROUP BY b""", public=False)
+SELECT b, avg(rec) AS bal FROM (SELECT b, y, avg(CASE WHEN pred = y THEN 1e0 ELSE 0e0 END) AS rec FROM {null_verdicts} GROUP BY b, y) GROUP BY b""", public=False)
 step("permutation_p", """
-SELECT round((1 + sum(CASE WHEN n.acc >= o.acc THEN 1 ELSE 0 END)) / (1.0 + count(*)) + 1e-9, 6) AS p, round(avg(n.acc) + 1e-9, 6) AS null_mean, round(stddev_samp(n.acc) + 1e-9, 6) AS null_sd, round(percentile(n.acc, 0.95) + 1e-9, 6) AS null_95
-FROM {null_scores} n JOIN (SELECT avg(CASE WHEN y = pred THEN 1e0 ELSE 0e0 END) AS acc FROM {verdicts} WHERE repeat = 0) o ON o.acc >= 0""")
+SELECT round((1 + sum(CASE WHEN n.bal >= o.bal - 1e-9 THEN 1 ELSE 0 END)) / (1.0 + count(*)) + 1e-9, 6) AS p, round(avg(n.bal) + 1e-9, 6) AS null_mean, round(stddev_samp(n.bal) + 1e-9, 6) AS null_sd, round(percentile(n.bal, 0.95) + 1e-9, 6) AS null_95
+FROM {null_scores} n JOIN (SELECT avg(bal) AS bal FROM {metrics}) o ON o.bal >= 0""")
 step("soft_vote", """
 SELECT repeat, subject, y, k, round(exp(g - hi) / sum(exp(g - hi)) OVER (PARTITION BY repeat, subject) + 1e-9, 6) AS p
 FROM (SELECT *, max(g) OVER (PARTITION BY repeat, subject) AS hi FROM (
