@@ -136,15 +136,38 @@ SELECT repeat, candidate FROM (SELECT repeat, candidate, row_number() OVER (PART
   SELECT repeat, 1 AS candidate, avg(CASE WHEN y = pred THEN 1e0 ELSE 0e0 END) AS score FROM {prior_verdicts} GROUP BY repeat)) WHERE rn = 1""")
 step("distances_by_group", """
 SELECT f.repeat, f.fold, c.subject, c.label AS y, c.epoch, m.label AS k, CAST(floor(c.j / 16) AS bigint) AS grp, sum(power(c.v - m.m, 2)) AS d
-FROM {cells3} c JOIN {folds} f ON c.subject = f.subject JOIN {centroids} m ON m.repeat = f.repeat AND m.fold = f.fold AND m.j = c.j WHERE f.repeat = 0
+FROM {cells3} c JOIN {folds} f ON c.subject = f.subject JOIN {centroids} m ON m.repeat = f.repeat AND m.fold = f.fold AND m.j = c.j
 GROUP BY f.repeat, f.fold, c.subject, c.label, c.epoch, m.label, CAST(floor(c.j / 16) AS bigint)""", public=False)
+step("tested", "SELECT f.repeat, f.fold, e.epoch FROM {epochs3} e JOIN {folds} f ON e.subject = f.subject", public=False)
+step("group_sizes", "SELECT CAST(floor(j / 16) AS bigint) AS grp, count(DISTINCT j) AS n_features FROM {cells3} GROUP BY CAST(floor(j / 16) AS bigint)", public=False)
 step("shuffled", """
-SELECT a.fold, a.epoch, b.epoch AS other FROM (SELECT fold, epoch, row_number() OVER (PARTITION BY fold ORDER BY epoch) AS rn FROM (SELECT DISTINCT fold, epoch FROM {distances_by_group})) a
-JOIN (SELECT fold, epoch, row_number() OVER (PARTITION BY fold ORDER BY md5(concat(CAST(epoch AS string), '#s'))) AS rn FROM (SELECT DISTINCT fold, epoch FROM {distances_by_group})) b ON a.fold = b.fold AND a.rn = b.rn""", public=False)
+SELECT b.repeat, b.fold, b.grp, b.draw, a.epoch, b.epoch AS other FROM (SELECT repeat, fold, epoch, row_number() OVER (PARTITION BY repeat, fold ORDER BY epoch) AS rn FROM {tested}) a
+JOIN (SELECT t.repeat, t.fold, g.grp, n.b AS draw, t.epoch, row_number() OVER (PARTITION BY t.repeat, t.fold, g.grp, n.b
+        ORDER BY md5(concat(CAST(t.epoch AS string), '#', CAST(t.repeat AS string), '#', CAST(g.grp AS string), '#', CAST(n.b AS string), '#s'))) AS rn
+      FROM {tested} t JOIN {group_sizes} g ON g.grp >= 0 JOIN {numbers} n ON n.b < 5) b ON a.repeat = b.repeat AND a.fold = b.fold AND a.rn = b.rn""", public=False)
+# grp -1: nothing shuffled
+step("shuffled_distances", """
+SELECT repeat, fold, -1 AS grp, 0 AS draw, subject, y, epoch, k, sum(d) AS d FROM {distances_by_group} GROUP BY repeat, fold, subject, y, epoch, k UNION ALL
+SELECT g.repeat, g.fold, g.grp, s.draw, g.subject, g.y, g.epoch, g.k, t.d - g.d + o.d AS d FROM {distances_by_group} g
+JOIN (SELECT repeat, epoch, k, sum(d) AS d FROM {distances_by_group} GROUP BY repeat, epoch, k) t ON t.repeat = g.repeat AND t.epoch = g.epoch AND t.k = g.k
+JOIN {shuffled} s ON s.repeat = g.repeat AND s.fold = g.fold AND s.grp = g.grp AND s.epoch = g.epoch
+JOIN {distances_by_group} o ON o.repeat = s.repeat AND o.epoch = s.other AND o.k = g.k AND o.grp = g.grp""", public=False)
+step("shuffled_proba", """
+SELECT repeat, fold, grp, draw, subject, y, k, round(exp(g - hi) / sum(exp(g - hi)) OVER (PARTITION BY repeat, grp, draw, subject), 12) AS p FROM (SELECT *, max(g) OVER (PARTITION BY repeat, grp, draw, subject) AS hi FROM (
+  SELECT repeat, fold, grp, draw, subject, y, k, avg(ln(greatest(least(p, 1), 1e-7))) AS g FROM (
+    SELECT *, exp(lo - d) / sum(exp(lo - d)) OVER (PARTITION BY repeat, grp, draw, epoch) AS p FROM (SELECT *, min(d) OVER (PARTITION BY repeat, grp, draw, epoch) AS lo FROM {shuffled_distances}))
+  GROUP BY repeat, fold, grp, draw, subject, y, k))""", public=False)
+step("shuffled_classes", """
+SELECT repeat, fold, grp, draw, k, sum(CASE WHEN y = k AND best = 1 THEN 1e0 ELSE 0e0 END) / nullif(sum(CASE WHEN y = k THEN 1 ELSE 0 END), 0) AS recall,
+       (sum(CASE WHEN y = k THEN r ELSE 0 END) - sum(CASE WHEN y = k THEN 1 ELSE 0 END) * (sum(CASE WHEN y = k THEN 1 ELSE 0 END) + 1) / 2e0) / nullif(sum(CASE WHEN y = k THEN 1 ELSE 0 END) * sum(CASE WHEN y <> k THEN 1 ELSE 0 END), 0) AS auc
+FROM (SELECT *, row_number() OVER (PARTITION BY repeat, grp, draw, subject ORDER BY p DESC, k) AS best,
+             rank() OVER (PARTITION BY repeat, fold, grp, draw, k ORDER BY p) + (count(*) OVER (PARTITION BY repeat, fold, grp, draw, k, p) - 1) / 2e0 AS r FROM {shuffled_proba}) GROUP BY repeat, fold, grp, draw, k""", public=False)
+step("shuffled_scores", """
+SELECT repeat, fold, grp, draw, avg(recall) AS bal, avg(auc) AS auc, max(CASE WHEN k = 0 THEN auc END) AS a0, max(CASE WHEN k = 1 THEN auc END) AS a1, max(CASE WHEN k = 2 THEN auc END) AS a2
+FROM {shuffled_classes} GROUP BY repeat, fold, grp, draw""", public=False)
+step("split_drops", """
+SELECT s.grp, s.repeat, s.fold, avg(o.bal - s.bal) AS bal, avg(o.auc - s.auc) AS auc, avg(o.a0 - s.a0) AS a0, avg(o.a1 - s.a1) AS a1, avg(o.a2 - s.a2) AS a2
+FROM {shuffled_scores} s JOIN {shuffled_scores} o ON o.repeat = s.repeat AND o.fold = s.fold AND o.grp = -1 WHERE s.grp >= 0 GROUP BY s.grp, s.repeat, s.fold""", public=False)
 step("perm_importance", """
-SELECT grp, round(avg(base) - avg(hit) + 1e-9, 6) AS drop_accuracy FROM (
-  SELECT grp, epoch, max(CASE WHEN r1 = 1 AND k = y THEN 1e0 ELSE 0e0 END) AS base, max(CASE WHEN r2 = 1 AND k = y THEN 1e0 ELSE 0e0 END) AS hit FROM (
-    SELECT *, row_number() OVER (PARTITION BY grp, epoch ORDER BY d0, k) AS r1, row_number() OVER (PARTITION BY grp, epoch ORDER BY d1, k) AS r2 FROM (
-      SELECT g.grp, g.epoch, g.y, g.k, t.d AS d0, t.d - g.d + o.d AS d1 FROM {distances_by_group} g
-      JOIN (SELECT epoch, k, sum(d) AS d FROM {distances_by_group} GROUP BY epoch, k) t ON t.epoch = g.epoch AND t.k = g.k
-      JOIN {shuffled} s ON s.epoch = g.epoch AND s.fold = g.fold JOIN {distances_by_group} o ON o.epoch = s.other AND o.k = g.k AND o.grp = g.grp)) GROUP BY grp, epoch) GROUP BY grp""")
+SELECT d.grp, max(g.n_features) AS n_features, round(avg(bal) + 1e-9, 6) AS drop_bal_acc, round(stddev_samp(bal) + 1e-9, 6) AS drop_bal_acc_sd, round(avg(auc) + 1e-9, 6) AS drop_macro_auc, round(stddev_samp(auc) + 1e-9, 6) AS drop_macro_auc_sd, round(avg(a0) + 1e-9, 6) AS drop_auc_ad, round(stddev_samp(a0) + 1e-9, 6) AS drop_auc_ad_sd, round(avg(a1) + 1e-9, 6) AS drop_auc_cn, round(stddev_samp(a1) + 1e-9, 6) AS drop_auc_cn_sd, round(avg(a2) + 1e-9, 6) AS drop_auc_ftd, round(stddev_samp(a2) + 1e-9, 6) AS drop_auc_ftd_sd
+FROM {split_drops} d JOIN {group_sizes} g ON g.grp = d.grp GROUP BY d.grp ORDER BY drop_macro_auc DESC, d.grp""")
