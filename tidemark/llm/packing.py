@@ -2,7 +2,7 @@
 
 A document is its token ids and a closing id 0, cut into pieces of at most LENGTH ids. The histogram of piece lengths has
 LENGTH bins at most, whatever the input. Lengths are placed longest first: open packing patterns (the lengths in a sequence,
-and how many sequences are so packed) are kept by free room; a length goes to the pattern with the least room that fits it,
+and how many sequences are so packed) are kept by free room; a length goes to the shortest pack, the pattern with most room,
 and only the counts of the two patterns change. So the driver holds patterns, never documents. Within its length each piece
 has a rank, counted by bucket and then in the bucket, so that a length that a third of all pieces share is no single
 task's; patterns own ranges of ranks, and the join of ranks and ranges gives sequence and offset.
@@ -16,7 +16,7 @@ as they come; an empty table gives no pieces; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -117,8 +117,12 @@ def _encoder(path: str) -> Encoder:
 
 
 def patterns(histogram: Mapping[int, int], length: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(sequences, [(piece length, times)]) of each pattern. Best fit: the fullest open pattern that still has room."""
-    open_: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = {}
+    """(sequences, [(piece length, times)]) of each pattern.
+
+    The longest length left goes to the shortest open pack, which has most room; where even that has too little, new packs open.
+    Packs that are packed alike are one pattern with a count, so the cost rests on the number of lengths and not on that of pieces.
+    """
+    open_: dict[int, dict[tuple[tuple[int, int], ...], int]] = {}
     rooms: list[int] = []
     done: list[tuple[int, list[tuple[int, int]]]] = []
 
@@ -127,36 +131,32 @@ def patterns(histogram: Mapping[int, int], length: int = LENGTH) -> list[tuple[i
             done.append((count, list(packed)))
             return
         if room not in open_:
-            open_[room] = []
+            open_[room] = {}
             insort(rooms, room)
-        for i, (n, p) in enumerate(open_[room]):
-            if p == packed:
-                open_[room][i] = (n + count, p)
-                return
-        open_[room].append((count, packed))
+        open_[room][packed] = open_[room].get(packed, 0) + count
 
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
         while left:
-            i = bisect_left(rooms, size)
-            if i == len(rooms):
+            if not rooms or rooms[-1] < size:
+                # a new pack has most room until it is full of this length
                 times = min(length // size, left)
                 count = left // times
                 add(length - times * size, count, ((size, times),))
                 left -= count * times
                 continue
-            room = rooms[i]
-            count, packed = open_[room].pop()
-            if not open_[room]:
-                del open_[room], rooms[i]
-            times = min(room // size, max(1, left // count))
-            used = min(count, left // times)
+            room = rooms[-1]
+            packed, count = open_[room].popitem()
+            used = min(count, left)
             if used < count:
-                add(room, count - used, packed)
-            grown = packed[:-1] + ((size, packed[-1][1] + times),) if packed[-1][0] == size else (*packed, (size, times))
-            add(room - times * size, used, grown)
-            left -= used * times
-    return done + [(n, list(p)) for room in open_ for n, p in open_[room]]
+                open_[room][packed] = count - used
+            elif not open_[room]:
+                del open_[room]
+                rooms.pop()
+            grown = (*packed[:-1], (size, packed[-1][1] + 1)) if packed[-1][0] == size else (*packed, (size, 1))
+            add(room - size, used, grown)
+            left -= used
+    return done + [(n, list(p)) for room in open_.values() for p, n in room.items()]
 
 
 def ranges(packed: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int, int, int, int, int]]:
