@@ -1,10 +1,12 @@
 """Quality rules with risk-controlled cutoffs (operator 2), native.
 
-Every text gets surface statistics. A ladder of nested rule sets (level 0 mildest) rejects a text when any statistic
-is above its cutoff at that level. On labelled holdouts each (stratum, level) is tested with the exact binomial tail
-P(Bin(n, alpha) <= k), n good holdout texts of which k would be rejected; p-values are Bonferroni-corrected over
-all strata and levels, and a stratum uses its strictest level such that it and all milder ones are certified. A stratum
-without a certified level rejects nothing.
+Every text gets surface statistics. Each rule compares one statistic with a cutoff out of a list, mildest first. For each stratum
+a cutoff is selected rule by rule on labelled holdouts: with the cutoffs selected so far in force, the rule's next stricter cutoff
+is tested with the exact binomial tail P(Bin(n, alpha) <= k), n good holdout texts of which the rules together would reject k;
+the first cutoff that fails ends the rule's list and the one before it is selected (none: the rule rejects nothing there).
+
+Each list is a fixed sequence, but which lists are walked rests on the rules before, so p-values are Bonferroni-corrected over all
+lists that a stratum might walk and over all strata. With probability 1 - delta no stratum rejects more than a share alpha of its good texts.
 
 Defined results: null text counts as empty (0 words, base_failed); null lang falls in stratum "other"; a document with
 several labels is good only if all of them are 1; repeated rows each get their own result; empty tables give empty
@@ -14,25 +16,29 @@ results; other columns are ignored by ``rule_columns`` and kept by ``filter_docu
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import discard, materialize, text_of
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 STRATA = ("en", "de", "fr", "es")
-ALPHA, DELTA = 0.02, 0.05
-#: Cutoffs by level, mildest first. A text is rejected when any statistic exceeds its cutoff.
-LADDER = {
+ALPHA, DELTA = 0.05, 0.05
+#: The rules in the order of selection, with their cutoffs, mildest first. A text above the cutoff is rejected.
+CUTOFFS = {
     "symbol_ratio": (2.0, 1.0, 0.5, 0.3, 0.2, 0.1),
     "bang_ratio": (0.9, 0.6, 0.5, 0.4, 0.3, 0.2),
     "upper_ratio": (0.9, 0.7, 0.6, 0.5, 0.4, 0.3),
     "repeat_ratio": (0.95, 0.8, 0.7, 0.6, 0.55, 0.5),
 }
-LEVELS = len(LADDER["symbol_ratio"])
+RULES, LEVELS = len(CUTOFFS), len(CUTOFFS["symbol_ratio"])
+#: Lists that one stratum might walk: the first rule's, the second's after each outcome of the first, and so on.
+WALKS = sum((LEVELS + 1) ** r for r in range(RULES))
+#: Labelled documents up to this many are sent to every task; beyond it they are joined.
+BROADCAST_IDS = 1_000_000
 
 
 def statistics(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -84,10 +90,9 @@ def ratios() -> dict[str, Column]:
     }
 
 
-def strikes() -> Column:
-    """How many levels reject the text. Levels are nested, so these are the strictest ones: level l rejects iff l >= LEVELS - this."""
-    hits = [sum((F.when(r > c, 1).otherwise(0) for c in LADDER[k]), F.lit(0)) for k, r in ratios().items()]
-    return F.greatest(*hits)
+def strikes() -> list[Column]:
+    """By rule, how many of its cutoffs the text is above: it is above the strictest ones."""
+    return [sum((F.when(r > c, 1).otherwise(0) for c in CUTOFFS[k]), F.lit(0)) for k, r in ratios().items()]
 
 
 def base_failed() -> Column:
@@ -106,51 +111,67 @@ def tail(n: int, k: int, p: float) -> float:
     return min(1.0, math.fsum(math.exp(at(i)) for i in range(k + 1)))
 
 
-def certify(counts: dict[str, tuple[int, Sequence[int]]], strata: Sequence[str], alpha: float, delta: float) -> dict[str, int]:
-    """Number of certified levels by stratum. counts: good holdouts, and how many of them each level rejects."""
-    m, out = (len(strata) + 1) * LEVELS, {}
-    for s, (n, rejected) in counts.items():
-        level = 0
-        while level < LEVELS and n and tail(n, rejected[level], alpha) <= delta / m:
-            level += 1
-        out[s] = level
+def certify(good: Mapping[str, Mapping[tuple[int, ...], int]], strata: Sequence[str], alpha: float, delta: float) -> dict[str, tuple[int, ...]]:
+    """By stratum and rule, how many cutoffs are certified. good: the good holdouts of a stratum, counted by their strikes."""
+    each, out = delta / ((len(strata) + 1) * WALKS), {}
+    for s, counts in good.items():
+        n, chosen = sum(counts.values()), []
+        for r in range(RULES):
+            before = {x: any(x[j] > LEVELS - c for j, c in enumerate(chosen)) for x in counts}
+            level = 0
+            while level < LEVELS and n and tail(n, sum(v for x, v in counts.items() if before[x] or x[r] >= LEVELS - level), alpha) <= each:
+                level += 1
+            chosen.append(level)
+        out[s] = tuple(chosen)
     return out
 
 
-def cutoffs(stats: DataFrame, labels: DataFrame, strata: Sequence[str] = STRATA, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, int]:
-    """Certified levels by stratum, from stats (doc_id, lang and statistics) and labels. Base failures are not the method's to reject."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    hold = stats.join(good, "doc_id").where(~base_failed()).select(stratum(strata).alias("s"), strikes().alias("x"))
-    # one row a stratum and value of x: at most (strata + 1) * (LEVELS + 1) rows
-    counts: dict[str, list[int]] = {}
-    for s, x, n in hold.groupBy("s", "x").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts.setdefault(s, [0] * (LEVELS + 1))[x] += n
-    return certify({s: (sum(c), [sum(c[LEVELS - lv:]) for lv in range(LEVELS)]) for s, c in counts.items()}, strata, alpha, delta)
+def cutoffs(stats: DataFrame, good: DataFrame, strata: Sequence[str] = STRATA, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, tuple[int, ...]]:
+    """Certified cutoffs by stratum, from stats (doc_id, lang and statistics) and good ids. Base failures are not the method's to reject."""
+    hold = stats.join(good, "doc_id", "left_semi").where(~base_failed()).select(stratum(strata).alias("s"), *[x.alias(f"x{i}") for i, x in enumerate(strikes())])
+    # one row a stratum and combination of strikes: at most (strata + 1) * (LEVELS + 1) ** RULES rows
+    counts: dict[str, dict[tuple[int, ...], int]] = {}
+    for s, *x, n in hold.groupBy("s", *[f"x{i}" for i in range(RULES)]).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(s, {})[tuple(x)] = n
+    return certify(counts, strata, alpha, delta)
+
 
+def good_ids(labels: DataFrame) -> DataFrame:
+    return labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1 and doc_id is not null").select("doc_id")
 
-def verdict(levels: dict[str, int], strata: Sequence[str] = STRATA) -> Column:
-    """kept: false if base_failed, else false if the stratum's certified level rejects the text."""
+
+def _of_stratum(levels: Mapping[str, tuple[int, ...]], strata: Sequence[str], r: int) -> Column:
     level = F.lit(0)
     for s, n in levels.items():
-        level = F.when(stratum(strata) == s, F.lit(n)).otherwise(level)
-    return ~base_failed() & (strikes() <= LEVELS - level)
+        level = F.when(stratum(strata) == s, F.lit(n[r])).otherwise(level)
+    return level
+
+
+def verdict(levels: Mapping[str, tuple[int, ...]], strata: Sequence[str] = STRATA) -> Column:
+    """kept: false if base_failed, else false if a certified cutoff of the stratum rejects the text."""
+    kept = ~base_failed()
+    for r, x in enumerate(strikes()):
+        kept &= x <= LEVELS - _of_stratum(levels, strata, r)
+    return kept
 
 
 def rule_columns(docs: DataFrame, labels: DataFrame, strata: Sequence[str] = STRATA, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row a document: doc_id, statistics, base_failed, kept and the certified level of its stratum."""
+    """One row a document: doc_id, statistics, base_failed, kept and the certified cutoffs of its stratum, by rule."""
     stats = materialize(statistics(docs, ["doc_id", "lang"]))
-    levels = cutoffs(stats, labels, strata, alpha, delta)
-    level = F.lit(0)
-    for s, n in levels.items():
-        level = F.when(stratum(strata) == s, F.lit(n)).otherwise(level)
-    return stats.withColumns({"base_failed": base_failed(), "kept": verdict(levels, strata), "certified_levels": level})
+    levels = cutoffs(stats, good_ids(labels), strata, alpha, delta)
+    certified = F.array(*[_of_stratum(levels, strata, r) for r in range(RULES)])
+    return stats.withColumns({"base_failed": base_failed(), "kept": verdict(levels, strata), "certified": certified})
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, strata: Sequence[str] = STRATA, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The documents kept, with all their columns, whatever these are called."""
-    levels = cutoffs(materialize(statistics(docs, ["doc_id", "lang"])), labels, strata, alpha, delta)
+    good = materialize(good_ids(labels))
+    few = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
+    holdouts = materialize(statistics(docs.select("doc_id", "lang", "text").join(few, "doc_id", "left_semi"), ["doc_id", "lang"]))
+    levels = cutoffs(holdouts, few, strata, alpha, delta)
+    discard(holdouts, good)
     names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_qr_row"), "text", "doc_id", "lang")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_qr_row"), "text", "lang")
     # an outer explode, as the optimizer would push a filter below the statistics and compute them once a mention
     judged = statistics(row, ["_qr_row", "lang"]).select(F.when(verdict(levels, strata), F.array("_qr_row")).alias("_qr_kept"))
     kept = judged.select(F.explode_outer("_qr_kept").alias("_qr_row")).where("_qr_row is not null")

@@ -41,29 +41,37 @@ FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)
 
 
 def _quality() -> str:
-    """Statistics, exact binomial tails per stratum and level, Bonferroni, verdicts; the numbers are the operator's own."""
-    top, m = q.LEVELS, (len(q.STRATA) + 1) * q.LEVELS
+    """Statistics, then rule by rule the exact binomial tails of each stratum's next cutoffs, corrected, and the verdicts; the numbers are the operator's own."""
+    top, each = q.LEVELS, q.DELTA / ((len(q.STRATA) + 1) * q.WALKS)
     ratio = {"symbol_ratio": "n_symbols / n_words", "bang_ratio": "n_bangs / n_words", "upper_ratio": "n_upper / word_chars", "repeat_ratio": "n_repeat_words / n_words"}
-    strikes = "greatest(" + ", ".join(" + ".join(f"(CASE WHEN n_words > 0 AND {ratio[k]} > {c} THEN 1 ELSE 0 END)" for c in cuts) for k, cuts in q.LADDER.items()) + ")"
+    strikes = ", ".join(" + ".join(f"(CASE WHEN n_words > 0 AND {ratio[k]} > {c} THEN 1 ELSE 0 END)" for c in cuts) + f" AS x{i}" for i, (k, cuts) in enumerate(q.CUTOFFS.items()))
     strata = ", ".join(f"'{s}'" for s in q.STRATA)
+    steps, chosen = [], "SELECT DISTINCT s FROM g"
+    for r in range(q.RULES):
+        before = " OR ".join([f"x{j} > {top} - c{j}" for j in range(r)] or ["false"])
+        steps.append(rf"""
+a{r} AS ({chosen}),
+k{r} AS (SELECT s, lv, count(*) AS n, count(*) FILTER (x{r} >= {top} - lv OR {before}) AS k FROM g JOIN a{r} USING (s), (SELECT unnest(range({top})) AS lv) GROUP BY s, lv),
+b{r} AS (SELECT s, lv, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.ALPHA}) + (n - i) * ln(1 - {q.ALPHA}))) AS tail
+      FROM (SELECT s, lv, n::double AS n, unnest(range(k::bigint + 1))::double AS i FROM k{r} WHERE k < n) GROUP BY s, lv),
+f{r} AS (SELECT k{r}.s, min(k{r}.lv) AS lv FROM k{r} LEFT JOIN b{r} ON b{r}.s = k{r}.s AND b{r}.lv = k{r}.lv WHERE coalesce(tail, 1) > {each!r} GROUP BY k{r}.s)""")
+        chosen = f"SELECT a{r}.*, coalesce(lv, {top}) AS c{r} FROM a{r} LEFT JOIN f{r} USING (s)"
+    kept = " AND ".join(["NOT base_failed", *(f"x{r} <= {top} - coalesce(c{r}, 0)" for r in range(q.RULES))])
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN lang IN ({strata}) THEN lang ELSE 'other' END AS s, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
-g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
-h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM g) WHERE c > 1),
+u AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM u) WHERE c > 1),
 p AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM h) GROUP BY r),
 l AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
 f AS (SELECT d.doc_id, d.s, len(w.w)::bigint AS n_words, length(array_to_string(w.w, ''))::bigint AS word_chars, length(regexp_replace(d.t, '[^#*$%&|<>]+', '', 'g'))::bigint AS n_symbols,
       coalesce(l.n, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, length(regexp_replace(d.t, '[^!]+', '', 'g')) AS n_bangs, length(regexp_replace(d.t, '\P{{Lu}}+', '', 'g')) AS n_upper
       FROM d JOIN w USING (r) LEFT JOIN l USING (r) LEFT JOIN p USING (r)),
-v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {strikes} AS x FROM f),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {strikes} FROM f),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
-c AS (SELECT s, x, count(*) AS n FROM v JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY s, x),
-lv AS (SELECT s, lv, sum(n) AS n, coalesce(sum(n) FILTER (x >= {top} - lv), 0) AS k FROM c, (SELECT unnest(range({top})) AS lv) GROUP BY s, lv),
-b AS (SELECT s, lv, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.ALPHA}) + (n - i) * ln(1 - {q.ALPHA}))) AS tail
-      FROM (SELECT s, lv, n::double AS n, unnest(range(k::bigint + 1))::double AS i FROM lv WHERE k < n) GROUP BY s, lv),
-a AS (SELECT s, min(lv) AS certified FROM (SELECT lv.s, lv.lv FROM lv LEFT JOIN b ON b.s = lv.s AND b.lv = lv.lv WHERE coalesce(b.tail, 1) > {q.DELTA / m!r} UNION ALL SELECT DISTINCT s, {top} FROM lv) GROUP BY s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x <= {top} - coalesce(certified, 0) AS kept
+g AS (SELECT s, {", ".join(f"x{r}" for r in range(q.RULES))} FROM v SEMI JOIN good USING (doc_id) WHERE NOT base_failed),{",".join(steps)},
+a AS ({chosen})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {kept} AS kept
 FROM v LEFT JOIN a USING (s)
 """
 
