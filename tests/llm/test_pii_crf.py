@@ -46,15 +46,74 @@ def test_viterbi_is_the_best_path(model):
 
 def test_held_out_accuracy(model):
     table = c.labelled_sentences(200, seed=99)
-    tokens = [c.tokens_of(t) for t, _ in table]
-    labels = c.viterbi(model, [model.emissions(c.token_features(t, at)) for (t, _), at in zip(table, tokens, strict=True)])
+    found = c.field_spans([t for t, _ in table], model)
     hit = said = true = 0
-    for (_, spans), at, y in zip(table, tokens, labels, strict=True):
-        got = set(c._spans(y, at))
-        hit, said, true = hit + len(got & set(spans)), said + len(got), true + len(spans)
+    for (_, spans), got in zip(table, found, strict=True):
+        hit, said, true = hit + len(set(got) & set(spans)), said + len(got), true + len(spans)
     assert hit / said > 0.95 and hit / true > 0.95
 
 
+#: Written by hand; personal data in double brackets, with its kind.
+BY_HAND = """
+Write to [[0:maria.lopez@uni-hof.example.de]] before Friday, or ring [[3:(030) 555-0134]] at the desk.
+The server at [[1:192.168.14.7]] answered 3 times in 20 ms; version 2.14.1 was fine.
+Charge [[2:4111 1111 1111 1111]] for the 2 tickets and send the bill to [[0:bill_2@shop.org]].
+She was born on 1984-07-12, lived at 12 Elm Street, and earned $3,500.50 in 2011.
+My old number was [[3:+44 20 7946 0958]], the new one is [[3:+44-20-7946-0991]].
+Order 12345678 of 17/03/2020 (page 4 of 9) was shipped at 10:45.
+Card [[2:5500000000000004]] expired; use [[2:3782-8224-6310-0055]] instead.
+Tweet @nobody or see chapter 3.2; the ratio is 0.75.
+Contact: [[0:j+k@mail.example.com]], fax [[3:555-867-5309]].
+Hosts [[1:10.0.0.1]] and [[1:10.0.0.254]] were down between 02:00 and 03:30.
+"""
+
+
+def test_accuracy_on_sentences_written_by_hand(model):
+    texts, spans = [], []
+    for line in BY_HAND.strip().split("\n"):
+        text, own = "", []
+        for i, part in enumerate(re.split(r"\[\[|\]\]", line)):
+            if i % 2:
+                own.append((int(part[0]), len(text), len(text) + len(part) - 2))
+                part = part[2:]
+            text += part
+        texts.append(text)
+        spans.append(own)
+    found = [set(base) | set(added) for base, added in c.find_spans(texts, model)]
+    hit = sum(len(f & set(s)) for f, s in zip(found, spans, strict=True))
+    assert hit >= 0.9 * sum(map(len, spans)) and hit >= 0.9 * sum(map(len, found))
+
+
+def plain_tokens(text):
+    return [m.span() for m in re.finditer(r"[^\W\d_]+|[0-9]+|[^\w\s]|[_]|\w", text)]
+
+
+@given(st.lists(st.text(alphabet="aB1 9.@é_²٣ǅ中%\n", max_size=15), max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_tokens_of_several_texts(texts):
+    t = c.tokens_of(texts)
+    for i, text in enumerate(texts):
+        own = slice(t.first[i], t.first[i + 1])
+        assert list(zip(t.start[own].tolist(), t.end[own].tolist(), strict=True)) == plain_tokens(text)
+        assert t.key[own].tolist() == c.tokens_of([text]).key.tolist()
+
+
+@given(st.lists(st.text(alphabet="aB1 9.@+(-)%", max_size=60), min_size=1, max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_parts_give_what_whole_texts_give(model, texts):
+    t = c.tokens_of(texts)
+    want = []
+    for i, y in enumerate(c.viterbi(model, [model.emissions(t.key[a:b]) for a, b in itertools.pairwise(t.first)])):
+        at = t.first[i]
+        want.append([(k, int(t.start[at + a]), int(t.end[at + b - 1])) for k, a, b in c._spans(y)])
+    assert c.field_spans(texts, model) == want
+
+
+def test_most_tokens_of_plain_prose_are_settled(model):
+    t = c.tokens_of(["the Quick brown fox, as they say, jumped. Over 12 dogs and Ün ort " * 500])
+    assert sum(len(p) for _, p in c.open_parts(model, t)) < 0.35 * len(t.key)
+
+
 def test_adds_what_patterns_miss_and_leaves_clean_texts(model):
     texts = ["pay 1234567812345678 now", "call (212) 555-0188 today", "On 2024-05-12 v1.2.3 cost $12.50 at 10:30, see pages 12-17.", "mail a.b@c.org", None, "", "no digits here"]
     found = c.find_spans(texts, model)

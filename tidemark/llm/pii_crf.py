@@ -4,8 +4,10 @@ Base spans come from fixed patterns and are never lost. The field adds spans the
 the check digit, phone numbers without a country code): it is trained on the driver from a small labelled table of
 sentences, made by rule, and decoded by Viterbi in numpy batches. A span of the field that overlaps a base span is dropped.
 
-A decoded sequence is a stretch of text around digits and at-signs: a word further than REACH characters from any of
-them can be no e-mail address, number or phone number, so stretches end there. All tokens of all stretches are decoded.
+The field reads the whole text: every token has its features (shapes of it and two neighbours on each side, and the gaps between
+them, packed in one integer) and emissions. Where a token outside all spans leads any other label by more than transitions and
+its neighbour could make up, every best path passes through it, so Viterbi need only decode the tokens between such ones
+(``open_parts``); the labels are those of decoding the text as one sequence.
 
 Defined results: a null text is empty and has no spans; repeated rows get equal results; an empty table gives no rows; extra
 columns are ignored (``mask_documents`` keeps them). Offsets count code points, ends exclusive.
@@ -19,6 +21,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,6 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: O, then begin and inside of each kind.
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-REACH = 40
 Span = tuple[int, int, int]  # kind, start, end
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,8 +40,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|[_]|\w")
-_TRIGGER = re.compile(r"[0-9@]+")
 
 
 def luhn(digits: str) -> bool:
@@ -77,47 +77,88 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def stretches(text: str, reach: int = REACH) -> Iterator[tuple[int, int]]:
-    """Ranges within reach of a digit or at-sign, merged. A word that a range's end cuts has the shape of its part."""
-    begin = end = -1
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if a <= end:
-            end = b
-            continue
-        if end >= 0:
-            yield begin, end
-        begin, end = a, b
-    if end >= 0:
-        yield begin, end
-
-
-def shape(token: str) -> str:
-    """Word shape: letters by case with runs shortened, digits by their number, other signs as they are."""
-    if token[0].isdigit():
-        n = len(token)
-        return f"d{n if n <= 5 else '6-11' if n < 12 else '12-15' if n < 16 else '16' if n == 16 else '17-19' if n < 20 else '20+'}"
-    if token[0].isalpha():
-        return "x" if token.islower() else "X" if token.isupper() else "Xx"
-    return token if token.isascii() else "s"
-
-
-def tokens_of(text: str, begin: int = 0, end: int | None = None) -> list[tuple[int, int]]:
-    return [m.span() for m in _TOKEN.finditer(text, begin, len(text) if end is None else end)]
-
-
-def token_features(text: str, spans: Sequence[tuple[int, int]]) -> list[list[str]]:
-    """Features of each token: its shape, the neighbours' shapes and whether white space parts them, and nothing else."""
-    shapes = [shape(text[a:b]) for a, b in spans]
-    gap = [True, *(spans[i][0] > spans[i - 1][1] for i in range(1, len(spans))), True]
-    at = lambda i: shapes[i] if 0 <= i < len(shapes) else "#"
-    out = []
-    for i, s in enumerate(shapes):
-        l, r = "_" if gap[i] else "", "_" if gap[i + 1] else ""
-        l2 = "_" if i < 1 or gap[i - 1] else ""
-        r2 = "_" if i + 2 >= len(gap) or gap[i + 2] else ""
-        out.append(["bias", f"0{s}", f"-{at(i - 1)}{l}", f"+{r}{at(i + 1)}", f"-0{at(i - 1)}{l}{s}", f"0+{s}{r}{at(i + 1)}", f"--{at(i - 2)}{l2}{at(i - 1)}{l}{s}", f"++{s}{r}{at(i + 1)}{r2}{at(i + 2)}", f"-+{at(i - 1)}{l}{s}{r}{at(i + 1)}"])
-    return out
+#: Classes of code points: white space, letters (runs are tokens), 0-9 (runs are tokens), any other sign (a token each).
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+#: Shapes: letters by case, digits by their number (up to 5, 11, 15, 16, 19, more), another sign, the text's end; ASCII signs are _ASCII and their code.
+_LOWER, _UPPER, _MIXED, _DIGITS1, _OTHER, _END, _ASCII = 0, 1, 2, 3, 13, 14, 16
+_DIGIT_STEPS = np.array([1, 2, 3, 4, 5, 11, 15, 16, 19])
+
+
+@lru_cache(maxsize=1)
+def _points() -> tuple[np.ndarray, np.ndarray]:
+    """Class, and case flags (1 lower, 2 upper or title), of every code point."""
+    kind, case = np.full(0x110000, _SIGN, dtype=np.uint8), np.zeros(0x110000, dtype=np.uint8)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isspace():
+            kind[i] = _SPACE
+        elif "0" <= c <= "9":
+            kind[i] = _DIGIT
+        elif c.isalnum() and not c.isdecimal():
+            kind[i] = _LETTER
+            case[i] = c.islower() + 2 * (c.isupper() or c.istitle())
+    return kind, case
+
+
+@dataclass
+class Tokens:
+    """Tokens of several texts: their places in the text, their context keys, and where each text's tokens begin."""
+
+    start: np.ndarray
+    end: np.ndarray
+    key: np.ndarray
+    first: np.ndarray
+
+
+#: A context key, from its high bits: two shapes before, each with the gap after it, the token's shape, two after with the gap before each.
+_WIDTH = 8
+_S2L, _G2L, _S1L, _G1L, _S0, _G1R, _S1R, _G2R, _S2R = 36, 35, 27, 26, 18, 17, 9, 8, 0
+
+
+def _mask(*fields: int) -> int:
+    return sum((1 if f in (_G2L, _G1L, _G1R, _G2R) else 255) << f for f in fields)
+
+
+#: Fields of the features: none, the shape, a neighbour, pairs, triples.
+FEATURES = np.array([_mask(*f) for f in ((), (_S0,), (_S1L, _G1L), (_G1R, _S1R), (_S1L, _G1L, _S0), (_S0, _G1R, _S1R), (_S2L, _G2L, _S1L, _G1L, _S0), (_S0, _G1R, _S1R, _G2R, _S2R), (_S1L, _G1L, _S0, _G1R, _S1R))], dtype=np.int64)
+_NUMBER = np.arange(len(FEATURES), dtype=np.int64) << 44
+
+
+def tokens_of(texts: Sequence[str]) -> Tokens:
+    kind_of, case_of = _points()
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    begin = np.cumsum(size + 1) - size - 1
+    # a space after each text parts their tokens
+    flat = np.frombuffer("".join(f"{t} " for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = kind_of[flat]
+    new = np.ones(len(kind), dtype=bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _SIGN)
+    at = np.flatnonzero(new)
+    stop = np.append(at[1:], len(kind))
+    real = kind[at] != _SPACE
+    case = np.bitwise_or.reduceat(case_of[flat], at) if len(at) else np.zeros(0, np.uint8)
+    at, stop, case = at[real], stop[real], case[real]
+    head, sign = kind[at], flat[at]
+    shape = np.where(case == 1, _LOWER, np.where(case == 2, _UPPER, _MIXED)).astype(np.int64)
+    shape = np.where(head == _DIGIT, _DIGITS1 + np.searchsorted(_DIGIT_STEPS, stop - at), shape)
+    shape = np.where(head == _SIGN, np.where(sign < 128, _ASCII + sign.astype(np.int64), _OTHER), shape)
+    owner = np.searchsorted(begin, at, "right") - 1
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    # two ends stand between texts, so that neighbours are plain shifts
+    place = np.arange(len(at)) + 2 * (owner + 1)
+    s = np.full(len(at) + 2 * (len(texts) + 1), _END, dtype=np.int64)
+    gap = np.ones(len(s) + 1, dtype=np.int64)  # before each place
+    s[place] = shape
+    same = np.flatnonzero((owner[1:] == owner[:-1]) & (at[1:] == stop[:-1])) + 1
+    gap[place[same]] = 0
+    key = (s[place - 2] << _S2L) | (gap[place - 1] << _G2L) | (s[place - 1] << _S1L) | (gap[place] << _G1L) | (shape << _S0)
+    key |= (gap[place + 1] << _G1R) | (s[place + 1] << _S1R) | (gap[place + 2] << _G2R) | s[place + 2]
+    return Tokens(at - begin[owner], stop - begin[owner], key, first)
+
+
+def features_of(key: np.ndarray) -> np.ndarray:
+    """Features of each context, as integers: the feature's number and the fields it looks at."""
+    return (key[:, None] & FEATURES) | _NUMBER
 
 
 def labelled_sentences(n: int = 300, seed: int = 7) -> list[tuple[str, list[Span]]]:
@@ -147,16 +188,18 @@ def labelled_sentences(n: int = 300, seed: int = 7) -> list[tuple[str, list[Span
 
 @dataclass
 class Crf:
-    """vocabulary: feature to row of weights (the last row is that of unknown features, zero)."""
+    """vocabulary: sorted features; weights: a row each and a last one, zero, for unknown features."""
 
-    vocabulary: dict[str, int]
+    vocabulary: np.ndarray
     weights: np.ndarray
     moves: np.ndarray
 
-    def emissions(self, features: Sequence[Sequence[str]]) -> np.ndarray:
-        get, unknown = self.vocabulary.get, len(self.weights) - 1
-        rows = np.array([[get(f, unknown) for f in x] for x in features], dtype=np.int64)
-        return self.weights[rows].sum(axis=1)
+    def emissions(self, key: np.ndarray) -> np.ndarray:
+        f = features_of(key)
+        at = np.searchsorted(self.vocabulary, f)
+        at[at == len(self.vocabulary)] = 0
+        at[self.vocabulary[at] != f] = len(self.weights) - 1
+        return self.weights[at].sum(axis=1)
 
 
 #: A label may follow O, or any; an inside label only its own kind.
@@ -173,23 +216,21 @@ def _pad(parts: Sequence[np.ndarray], fill: float = 0.0) -> tuple[np.ndarray, np
     return out, size
 
 
-def train(table: Sequence[tuple[str, list[Span]]], epochs: int = 40, rate: float = 0.2, l2: float = 1e-3) -> Crf:
+def train(table: Sequence[tuple[str, list[Span]]], epochs: int = 40, rate: float = 0.6, l2: float = 1e-3) -> Crf:
     """Maximum likelihood by Adagrad over the whole table; forward and backward run over all sentences at once."""
     feats, gold = [], []
-    for text, spans in table:
-        at = tokens_of(text)
-        feats.append(token_features(text, at))
-        y = [0] * len(at)
+    tokens = tokens_of([text for text, _ in table])
+    for i, (_, spans) in enumerate(table):
+        own = slice(tokens.first[i], tokens.first[i + 1])
+        feats.append(features_of(tokens.key[own]))
+        y = np.zeros(len(feats[-1]), dtype=np.int64)
         for k, a, b in spans:
-            first = True
-            for i, (s, e) in enumerate(at):
-                if s >= a and e <= b:
-                    y[i], first = 1 + 2 * k + (not first), False
-        gold.append(np.array(y))
-    names = sorted({f for s in feats for x in s for f in x})
-    vocabulary = {f: i for i, f in enumerate(names)}
-    ids, size = _pad([np.array([[vocabulary[f] for f in x] for x in s]) for s in feats], len(names))
-    ids = ids.astype(np.int64)
+            inside = np.flatnonzero((tokens.start[own] >= a) & (tokens.end[own] <= b))
+            y[inside] = 2 * k + 2
+            y[inside[:1]] = 2 * k + 1
+        gold.append(y)
+    names = np.unique(np.concatenate(feats))
+    ids, size = _pad([np.searchsorted(names, f) for f in feats], len(names))
     y, _ = _pad(gold)
     n, steps, L = len(size), ids.shape[1], len(LABELS)
     real = np.arange(steps)[None, :] < size[:, None]
@@ -221,7 +262,13 @@ def train(table: Sequence[tuple[str, list[Span]]], epochs: int = 40, rate: float
         w += rate * grad / np.sqrt(gw)
         moves += rate * move / np.sqrt(gm)
         w[-1] = 0
-    return Crf(vocabulary, w, moves)
+    return Crf(names, w, moves)
+
+
+@lru_cache(maxsize=1)
+def default_model() -> Crf:
+    """The field of the rule-made table, fitted once a session."""
+    return train(labelled_sentences())
 
 
 def viterbi(model: Crf, parts: Sequence[np.ndarray]) -> list[np.ndarray]:
@@ -254,19 +301,69 @@ def viterbi(model: Crf, parts: Sequence[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _spans(labels: np.ndarray, at: Sequence[tuple[int, int]]) -> Iterator[Span]:
+def open_parts(model: Crf, tokens: Tokens) -> list[tuple[int, np.ndarray]]:
+    """(first token, emissions) of the runs of tokens that may belong to a span, each with the O before and after it, in the text's bounds.
+
+    Where a path has another label at a token, O can stand there instead, if what is left of the span after it is mended: its next token
+    begins a span (B for I), or is O as well and the one after it is mended. ``mend`` bounds what that may cost; each transition that
+    changes costs ``step`` at most. A token whose lead exceeds the bound is O on every best path.
+    """
+    allowed = model.moves[_ALLOWED]
+    step = float(allowed.max() - allowed.min()) + 1e-6
+    kinds, of = np.unique(tokens.key, return_inverse=True)
+    e = model.emissions(kinds)
+    lead = (e[:, 0] - e[:, 1:].max(axis=1))[of]
+    ends, starts = (e[:, 0] - e[:, 2::2].max(axis=1))[of], (e[:, 2::2] - e[:, 1::2]).max(axis=1)[of]
+    n = len(of)
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[tokens.first] = True
+    mend = np.zeros(n + 1)
+    for depth in range(6):
+        cost = starts + step if not depth else np.minimum(starts + step, step - ends + mend[1:])
+        mend = np.append(np.maximum(0.0, cost), 0.0)
+        mend[edge] = 0.0  # seen from the token before it, no span goes on past its text
+    loose = lead - 2 * step <= mend[1:]
+    # runs of loose tokens, parted at text edges
+    begin = np.flatnonzero(loose & (edge[:-1] | ~np.append(False, loose[:-1])))
+    stop = np.flatnonzero(loose & (edge[1:] | ~np.append(loose[1:], False))) + 1
+    a, b = np.where(edge[begin], begin, begin - 1), np.where(edge[stop], stop, stop + 1)
+    out = []
+    for x, y, left, right in zip(a.tolist(), b.tolist(), (a < begin).tolist(), (b > stop).tolist(), strict=True):
+        part = e[of[x:y]]
+        if left:
+            part[0, 1:] = -1e6
+        if right:
+            part[-1, 1:] = -1e6
+        out.append((x, part))
+    return out
+
+
+def _spans(labels: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Kind, first and end token of each run of labels."""
     i = 0
     while i < len(labels):
         if labels[i]:
             k, j = (labels[i] - 1) // 2, i + 1
             while j < len(labels) and labels[j] == 2 * k + 2:
                 j += 1
-            yield int(k), at[i][0], at[j - 1][1]
+            yield int(k), i, j
             i = j
         else:
             i += 1
 
 
+def field_spans(texts: Sequence[str], model: Crf) -> list[list[Span]]:
+    """Spans of the field in each text, decoded whole."""
+    tokens = tokens_of(texts)
+    parts = open_parts(model, tokens)
+    out: list[list[Span]] = [[] for _ in texts]
+    for (x, _), labels in zip(parts, viterbi(model, [p for _, p in parts]), strict=True):
+        if labels.any():
+            owner = int(np.searchsorted(tokens.first, x, "right")) - 1
+            out[owner] += [(k, int(tokens.start[x + i]), int(tokens.end[x + j - 1])) for k, i, j in _spans(labels)]
+    return out
+
+
 def plausible(kind: int, text: str) -> bool:
     """What any span of the field must hold: enough digits for its kind, the dots of an ip, an at-sign for an address."""
     digits = len(_DIGITS.findall(text))
@@ -275,17 +372,9 @@ def plausible(kind: int, text: str) -> bool:
 
 def find_spans(texts: Sequence[str | None], model: Crf) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, added spans) of each text."""
-    base = [base_spans(t or "") for t in texts]
-    owner, tokens, parts = [], [], []
-    for i, text in enumerate(texts):
-        for a, b in stretches(text or ""):
-            at = tokens_of(text, a, b)
-            owner.append(i), tokens.append(at), parts.append(model.emissions(token_features(text, at)))
-    added: list[list[Span]] = [[] for _ in texts]
-    for i, at, labels in zip(owner, tokens, viterbi(model, parts), strict=True):
-        for s in _spans(labels, at):
-            if plausible(s[0], texts[i][s[1] : s[2]]):
-                added[i].append(s)
+    whole = [t or "" for t in texts]
+    base = [base_spans(t) for t in whole]
+    added = [[s for s in own if plausible(s[0], t[s[1] : s[2]])] for t, own in zip(whole, field_spans(whole, model), strict=True)]
     out = []
     for b, a in zip(base, added, strict=True):
         taken: list[list[int]] = []  # the base spans' union
@@ -307,15 +396,14 @@ def _say(spans: Sequence[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-def _ranges(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _ranges(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about that many bytes, so that a batch's tokens stay few."""
     begin = size = 0
     for i, t in enumerate(texts):
         n = len(t.as_buffer()) if t.is_valid else 0
         if i > begin and size + n > most:
             yield begin, i
-            begin = size = 0
-            begin = i
+            begin, size = i, 0
         size += n
     if begin < len(texts):
         yield begin, len(texts)
@@ -323,7 +411,7 @@ def _ranges(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]
 
 def find(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     """doc_id and found: kind, start, end, base (whether a pattern found it), by kind, then start."""
-    crf = model or train(labelled_sentences())
+    crf = model or default_model()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +445,7 @@ def mask(text: str, spans: Sequence[Span]) -> str:
 
 def mask_documents(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     """The documents, all columns as they are but text, where personal data is masked; a null text stays null. n_chars, if there, is the new length."""
-    crf = model or train(labelled_sentences())
+    crf = model or default_model()
     names = docs.columns
     i = names.index("text")
 
