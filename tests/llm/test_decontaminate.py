@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -49,6 +51,19 @@ def test_matches_brute_force(spark, seed, block):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, t in docs if not brute(t, items)[4])
 
 
+def test_the_index_of_a_full_block_is_small_and_quick():
+    rng = random.Random(0)
+    items = [(str(i), " ".join(f"w{rng.randrange(50_000)}" for _ in range(100))) for i in range(d.BLOCK_WORDS // 100)]
+    tracemalloc.start()
+    began = time.process_time()
+    index = d.Index(items)
+    took, (held, peak) = time.process_time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert took < 60 and held < 80e6 and peak < 500e6, (took, held, peak)
+    hit = d._scan([f"x y {items[7][1]} z"], index, d._Known(index.vocab))
+    assert next(iter(hit)) == (103, [(2, 102)], ["7"])
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 50, 400), rng.integers(50, 99, 400)

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tidemark.llm import simhash as s
 
 
@@ -86,6 +87,15 @@ def test_near_duplicates_by_brute_force(spark):
             assert r.component_id == want[r.doc_id] and r.fingerprint == f"{plain(texts[ids.index(r.doc_id)]):016x}"
 
 
+def test_a_text_without_doc_id_links_its_neighbours(spark, monkeypatch):
+    fps = {"a": 0, "b": 7, "c": 63}  # b is within 3 bits of both, a and c are not of each other
+    monkeypatch.setattr(s, "fingerprints", lambda docs: docs.selectExpr("doc_id", "cast(case text when 'b' then 7 when 'c' then 63 else 0 end as bigint) as fp"))
+    docs = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "doc_id long, text string")
+    assert {(r.doc_id, r.fp, r.component_id) for r in s.near_duplicates(docs).collect()} == {(1, fps["a"], 1), (None, fps["b"], 1), (2, fps["c"], 1)}
+    alone = spark.createDataFrame([(None, "b"), (4, "zz")], "doc_id long, text string").withColumn("text", F.expr("case when doc_id = 4 then 'a' else text end"))
+    assert {r.component_id for r in s.near_duplicates(alone).collect()} == {4}
+
+
 def test_empty(spark):
     assert s.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -140,13 +150,6 @@ def test_drop_near_duplicates_keeps_one_of_each_group(spark):
     assert s.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_dense_links_of_a_large_bucket():
-    rng = np.random.default_rng(0)
-    fp = np.unique(np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 32, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 32, 400).astype(np.uint64)))
-    e = s._dense_links(fp)
-    assert len(fp) > 32 and len(e) < 3 * len(fp) and {*e.ravel().tolist()} == {*fp.tolist()}
-
-
 def edited_copies(rng, n, words=300):
     base = [f"w{rng.randrange(5000)}" for _ in range(words)]
     out = []

@@ -7,7 +7,8 @@ compared word by word, so that runs of such windows are the extended hit. Items
 the whole item; windows that short are looked up at every place, as no kept fingerprint is sure to lie in them.
 
 The benchmark goes to the tasks in blocks of at most BLOCK_WORDS words (a longer item is a block of its own): one block
-is the usual case and needs no shuffle. More blocks make more passes over the texts, whose hits are then merged.
+is the usual case and needs no shuffle. More blocks make more passes over the texts, whose hits are then merged. A block's index
+is arrays of about 40 bytes a word and its vocabulary; blocks are built and sent one after the other.
 
 Defined results: null and wordless texts have no words, hits or items; null or wordless items are ignored; items with
 equal item_id count once; repeated document rows each get their own result; extra columns are ignored.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SPAN, K = 10, 5
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_000_000
 #: Words of a batch that numpy handles at once.
 BATCH_WORDS = 1 << 20
 #: Bytes outside words become spaces; A-Z become a-z.
@@ -67,20 +69,27 @@ def winnow(h: np.ndarray, w: int) -> np.ndarray:
 
 
 class Windows:
-    """The distinct windows of one length: sorted hashes, their words, and the items that have them."""
-
-    def __init__(self, size: int, ids: list[np.ndarray]) -> None:
-        self.size = size
-        found: dict[tuple[int, ...], set[int]] = {}
-        for item, x in enumerate(ids):
-            if len(x) == size or (size == SPAN and len(x) > size):
-                for w in np.lib.stride_tricks.sliding_window_view(x, size).tolist():
-                    found.setdefault(tuple(w), set()).add(item)
-        self.words = np.array(list(found), dtype=np.int64).reshape(-1, size)
-        self.items = [sorted(v) for v in found.values()]
-        h = np.array([rolling(w, size)[0] for w in self.words], dtype=np.uint64) if len(self.words) else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash, self.words, self.items = h[order], self.words[order], [self.items[i] for i in order]
+    """The distinct windows of one length in the items' word ids: sorted hashes, a place of each window's words, the items that have it."""
+
+    def __init__(self, size: int, flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        self.size, self.flat = size, flat
+        own = np.flatnonzero(length == size if size < SPAN else length >= size)
+        count = length[own] - size + 1
+        item = np.repeat(own, count)
+        start = np.repeat(begin[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        h = rolling(flat, size)[start] if len(start) else np.zeros(0, np.uint64)
+        order = np.lexsort((item, *(flat[start + i] for i in reversed(range(size))), h))  # equal windows are neighbours, even if hashes collide
+        h, start, item = h[order], start[order], item[order]
+        words = np.stack([flat[start + i] for i in range(size)], axis=1) if len(start) else np.zeros((0, size), flat.dtype)
+        new = np.append(True, (h[1:] != h[:-1]) | (words[1:] != words[:-1]).any(axis=1))[: len(h)]
+        self.hash, self.start = h[new], start[new]
+        window = np.cumsum(new) - 1
+        fresh = new | np.append(True, item[1:] != item[:-1])[: len(h)]
+        self.of = item[fresh].astype(np.int32)
+        self.bounds = np.searchsorted(window[fresh], np.arange(len(self.hash) + 1))
+
+    def items(self, k: int) -> np.ndarray:
+        return self.of[self.bounds[k] : self.bounds[k + 1]]
 
     def match(self, ids: np.ndarray, starts: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts at which a window really occurs, and the window's index."""
@@ -89,7 +98,7 @@ class Windows:
         starts, left, right = starts[some], left[some], right[some]
         out_s, out_w = [], []
         while len(starts):  # more than one round only if two windows' hashes collide
-            same = (ids[starts[:, None] + np.arange(self.size)] == self.words[left]).all(axis=1)
+            same = (ids[starts[:, None] + np.arange(self.size)] == self.flat[self.start[left][:, None] + np.arange(self.size)]).all(axis=1)
             out_s.append(starts[same]), out_w.append(left[same])
             left = left + 1
             go = (left < right) & ~same
@@ -102,13 +111,17 @@ class Index:
     """One block of the benchmark, as every task holds it."""
 
     def __init__(self, items: Sequence[tuple[str, str | None]]) -> None:
-        words = [words_of(t) for _, t in items]
         self.names = [n for n, _ in items]
-        self.vocab = {w: i for i, w in enumerate(sorted({w for x in words for w in x}))}
-        ids = [np.array([self.vocab[w] for w in x], dtype=np.int64) for x in words]
-        self.prints = np.unique(np.concatenate([np.zeros(0, np.uint64), *(rolling(x, K)[winnow(rolling(x, K), SPAN - K + 1)] for x in ids if len(x) >= SPAN)]))
-        self.long = Windows(SPAN, ids)
-        self.short = [Windows(n, ids) for n in sorted({len(x) for x in ids if 0 < len(x) < SPAN})]
+        self.vocab: dict[bytes, int] = {}
+        number = self.vocab.setdefault
+        ids = [np.fromiter((number(w, len(self.vocab)) for w in words_of(t)), dtype=np.int32) for _, t in items]
+        length = np.array([len(x) for x in ids], dtype=np.int64)
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        begin = np.cumsum(length) - length
+        prints = [h[winnow(h, SPAN - K + 1)] for h in (rolling(x, K) for x in ids if len(x) >= SPAN)]
+        self.prints = np.unique(np.concatenate([np.zeros(0, np.uint64), *prints]))
+        self.long = Windows(SPAN, flat, begin, length)
+        self.short = [Windows(n, flat, begin, length) for n in sorted({*length[(length > 0) & (length < SPAN)].tolist()})]
 
     def find(self, ids: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, Windows]]:
         """Windows in a flat array of word ids; texts are set apart by -2, words outside the benchmark are -1."""
@@ -149,7 +162,7 @@ def _scan(batch: list[str | None], index: Index, known: _Known) -> Iterator[tupl
         text = np.searchsorted(begin, starts, "right") - 1
         pairs = np.unique(np.stack([text, which]), axis=1)
         for t, k in pairs.T.tolist():
-            items[t].update(index.names[i] for i in w.items[k])
+            items[t].update(index.names[i] for i in w.items(k))
         for t, s in zip(text.tolist(), (starts - begin[text]).tolist(), strict=True):
             own = spans[t]
             if own and own[-1][0] <= s <= own[-1][1]:
@@ -204,36 +217,36 @@ def _parts(texts: pa.Array) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Index]:
-    """The benchmark's items, block by block; the driver holds one block at a time."""
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[tuple[bool, Index]]:
+    """The benchmark's items, block by block, and whether a block is all there is; the driver holds one block at a time."""
     n = F.expr("length(text) div 2 + 1")  # no fewer than its words
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(n)).first()[0] or 0
     count = -(-total // block_words)
-    if count == 1:
-        yield Index([tuple(r) for r in items.collect()])
+    if count <= 1:
+        yield True, Index([tuple(r) for r in items.collect()])
         return
     for i in range(2 * count):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(2 * count)) == i).collect()
         if rows:
-            yield Index([tuple(r) for r in rows])
+            yield False, Index([tuple(r) for r in rows])
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, hits (word ranges), items (item_ids as sorted strings) of every document row."""
     spark = docs.sparkSession
     # item_ids repeated with other texts are one item: sets of names merge them
-    found = [_pass(docs, ["doc_id"], spark.sparkContext.broadcast(x)) for x in blocks(benchmark, block_words)]
-    if not found:
-        found = [_pass(docs, ["doc_id"], spark.sparkContext.broadcast(Index([])))]
-    if len(found) == 1:
-        return found[0]
-    # a row is named by its file and place in it, the same in every pass
-    keyed = materialize(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
-    parts = None
-    for x in blocks(benchmark, block_words):
-        one = _pass(keyed, ["doc_id", "_row"], spark.sparkContext.broadcast(x))
-        parts = one if parts is None else parts.union(one)
+    keyed, found = None, []
+    for alone, index in blocks(benchmark, block_words):
+        shared = spark.sparkContext.broadcast(index)
+        if alone:
+            return _pass(docs, ["doc_id"], shared)
+        # a row is named by its file and place in it, the same in every pass
+        keyed = keyed or materialize(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
+        one = _pass(keyed, ["doc_id", "_row"], shared)
+        found.append(materialize(one.where("size(hits) > 0") if found else one))
+        shared.destroy()
+    parts = reduce(DataFrame.union, found)
     merged = parts.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     union = """aggregate(array_sort(hits), cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) ->
         if(size(acc) > 0 and x.start <= acc[size(acc) - 1].end,
@@ -251,8 +264,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int
     """The documents without a hit, with all their columns. The row travels with its text through one pass a block."""
     spark = docs.sparkSession
     out = docs
-    for x in blocks(benchmark, block_words):
-        shared = spark.sparkContext.broadcast(x)
+    for alone, index in blocks(benchmark, block_words):
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -264,6 +277,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int
                     yield batch.slice(part.start, part.stop - part.start).filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
+        if not alone:
+            out = materialize(out)
+            shared.destroy()
     return out
 
 

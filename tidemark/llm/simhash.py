@@ -11,7 +11,8 @@ at most one in one of two parts). In the finest bucket at most 8 + 3 bits are fr
 spanning forest of its links, never all pairs. Components come from iterated minima over the forest's edges.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; fewer than 3 words make one shingle;
-repeated rows keep their rows and share their component; null doc_id rows are kept and named by null only if alone.
+repeated rows keep their rows and share their component; rows of a null doc_id are kept and link like any other, and a
+component's name is the least doc_id in it that is not null (null if there is none).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 SEED, RADIUS, BUCKET = 42, 3, 1024
 #: Near-duplicate stage: words a shingle, least Jaccard similarity.
@@ -156,20 +157,8 @@ def _forest_links(fp: np.ndarray) -> np.ndarray:
     return np.array(forest(fp), dtype=np.uint64).reshape(-1, 2)
 
 
-def _dense_links(fp: np.ndarray, most: int = 32) -> np.ndarray:
-    """All links of a small bucket; of a larger one the forest and the pairs with its most central member."""
-    if len(fp) <= most:
-        i, j = np.triu_indices(len(fp), 1)
-        pairs = np.stack([fp[i], fp[j]], axis=1)
-        return pairs[_bits(pairs[:, 0] ^ pairs[:, 1]) <= RADIUS]
-    bits = (fp[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    middle = np.packbits(bits.sum(axis=0) * 2 > len(fp), bitorder="little").view("<u8")[0]
-    hub = fp[_bits(fp ^ middle).argmin()]
-    return np.concatenate([_forest_links(fp), np.stack([np.full(len(fp) - 1, hub), fp[fp != hub]], axis=1)])
-
-
-def _linker(within):
-    """Links within runs of equal keys, by within(bucket); the partition comes sorted by key, fine. Gives r, a, b with a < b."""
+def _linker():
+    """Links within runs of equal keys, a spanning forest each; the partition comes sorted by key, fine. Gives r, a, b with a < b."""
 
     def flush(cols: list[np.ndarray]) -> pa.RecordBatch:
         key, fine, fp = cols
@@ -180,7 +169,7 @@ def _linker(within):
         near = _bits(x ^ y) <= RADIUS
         found = [np.stack([key[two][near] >> 38, x[near].view(np.int64), y[near].view(np.int64)])]
         for s, n in zip(new[size > 2], size[size > 2], strict=True):
-            e = within(fp[s : s + n].view(np.uint64)).view(np.int64)
+            e = _forest_links(fp[s : s + n].view(np.uint64)).view(np.int64)
             found.append(np.stack([np.full(len(e), key[s] >> 38), e[:, 0], e[:, 1]]))
         r, a, b = np.concatenate(found, axis=1)
         rows = np.unique(np.stack([r, np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -205,11 +194,8 @@ def _linker(within):
     return run
 
 
-def links(fps: DataFrame, bucket: int = BUCKET, dense: bool = False) -> DataFrame:
-    """r, a, b: links between distinct fingerprints (r, fp) of one r, enough to connect all that are connected.
-
-    dense: more of the links than a forest needs, for callers that check each link further.
-    """
+def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """r, a, b: links between distinct fingerprints (r, fp) of one r, enough to connect all that are connected."""
     keys, hot = half_keys(fps), materialize(hot_keys(fps, bucket))
     n_hot = hot.count()
     zero = F.lit(0).cast("long").alias("fine")
@@ -219,36 +205,39 @@ def links(fps: DataFrame, bucket: int = BUCKET, dense: bool = False) -> DataFram
         side = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
         cold = keys.join(side, "key", "left_anti").select("key", zero, "fp")
         rows = cold.union(finer_keys(keys.join(side, "key", "left_semi").select("fp", "key")).select("key", "fine", "fp"))
-    return rows.repartition("key", "fine").sortWithinPartitions("key", "fine").mapInArrow(_linker(_dense_links if dense else _forest_links), "r long, a long, b long")
+    return rows.repartition("key", "fine").sortWithinPartitions("key", "fine").mapInArrow(_linker(), "r long, a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, label: the least node reachable, over materialized edges (a, b). Alternating stars, one written table a round."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, label: the least node reachable, over edges (a, b). Alternating stars until nothing moves, one written table a round."""
     star = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         # large star: larger neighbours of a node move to its least neighbour; small star: smaller ones do
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.expr("array(struct(u, m as v), struct(v as u, m as v))")).alias("e")).select("e.*").where("u <> v").distinct()
-        star = materialize(small)
+        old, star = star, materialize(small)
+        discard(old, least)
         before, mark = mark, star.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == before:
             return star.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fp and component_id, the least doc_id of its component, of every row."""
     own = materialize(fingerprints(docs))
-    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    edges = materialize(links(nodes.select(F.lit(0).cast("long").alias("r"), "fp"), bucket))
-    named = edges.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
-    labels = components(named.select(F.col("x").alias("a"), F.col("y").alias("b")).where("x is not null and y is not null"))
-    of_fp = materialize(nodes.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id")))
-    return own.join(of_fp, "fp")  # both sides are read from files: a fingerprint of many copies can be split
+    # components are those of fingerprints, so a text without a doc_id links as well
+    fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("d")))
+    edges = materialize(links(fps.select(F.lit(0).cast("long").alias("r"), "fp"), bucket))
+    label = components(edges.select("a", "b"))
+    of_fp = materialize(fps.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "d", F.coalesce("label", "fp").alias("label")))
+    names = materialize(of_fp.groupBy("label").agg(F.min("d").alias("component_id")))
+    named = materialize(of_fp.join(names, "label").select("fp", "component_id"))
+    discard(fps, edges, of_fp, names)
+    return own.join(named, "fp")  # both sides are read from files: a fingerprint of many copies can be split
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -274,28 +263,31 @@ def _prefix(s: np.ndarray, similarity: float, common: np.ndarray, counts: np.nda
 
 
 def _meet(similarity: float, run_of: int):
-    """a, b, t: pairs of nodes with an equal t that may be similar, t null; of a run of over run_of nodes the pairs with its least node, t kept.
+    """a, b, t, star: pairs of nodes with an equal t that may be similar, t null, star where one is the least node of its run; of a run of
+    over run_of nodes the pairs with its least node, t kept.
 
     The partition comes sorted by t. A pair's first common hash leaves enough of both sets behind it, so no similar pair is lost by that test.
     """
+    names = ["a", "b", "t", "star"]
 
     def flush(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         t, node, size, pos = cols
         new = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         length = np.diff(np.append(new, len(t)))
-        found = [np.zeros((2, 0), dtype=np.int64)]
+        found = [np.zeros((3, 0), dtype=np.int64)]
         for k in np.unique(length[(length > 1) & (length <= run_of)]):
             i, j = np.triu_indices(k, 1)
-            s = new[length == k][:, None]
-            x, y = (s + i).ravel(), (s + j).ravel()
+            s = new[length == k]
+            least = node[s[:, None] + np.arange(k)].min(axis=1)
+            x, y, hub = (s[:, None] + i).ravel(), (s[:, None] + j).ravel(), np.repeat(least, len(i))
             near = np.minimum(size[x] - pos[x], size[y] - pos[y]) * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-6
-            x, y = node[x[near]], node[y[near]]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+            x, y, hub = node[x[near]], node[y[near]], hub[near]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.minimum(x, y) == hub]))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], names=["a", "b", "t"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[2] > 0)], names=names)
         for s, k in zip(new[length > run_of], length[length > run_of], strict=True):
             some = node[s : s + k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, some.min())), pa.array(some), pa.array(t[s : s + k])], names=["a", "b", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, some.min())), pa.array(some), pa.array(t[s : s + k]), pa.array(np.ones(k, bool))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
@@ -396,11 +388,12 @@ def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILA
     own = texts.select("node", "text").mapInArrow(prefixes, "node long, size long, rare array<long>, hot array<long>")
     own = materialize(own if only is None else own.join(only, "node", "left_semi"))
     rare = own.select("node", "size", F.posexplode("rare").alias("pos", "t")).select("t", "node", "size", F.col("pos").cast("long").alias("pos"))
-    met = rare.repartition("t").sortWithinPartitions("t").mapInArrow(_meet(similarity, run_of), "a long, b long, t long")
+    met = rare.repartition("t").sortWithinPartitions("t").mapInArrow(_meet(similarity, run_of), "a long, b long, t long, star boolean")
     hot = own.select("node", F.explode("hot").alias("t"))
     least = hot.groupBy("t").agg(F.min("node").alias("a"))  # at most ORDERED rows
-    met = materialize(met.union(hot.join(F.broadcast(least), "t").select("a", F.col("node").alias("b"), "t")))
-    pairs = materialize(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    met = materialize(met.union(hot.join(F.broadcast(least), "t").select("a", F.col("node").alias("b"), "t", F.lit(True))))
+    pairs = materialize(met.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star")))
+    discard(own)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,9 +403,19 @@ def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILA
 
     # the texts are shuffled at any size of the corpus, as no bound on the nodes makes a broadcast safe
     shingles = materialize(texts.join(needed.hint("merge"), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<long>"))
-    both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    verified = materialize(both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b"))
+
+    def verify(some: DataFrame) -> DataFrame:
+        both = some.join(shingles.select(F.col("node").alias("a"), "s"), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
+        shared = F.size(F.array_intersect("s", "t"))
+        return materialize(both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b"))
+
+    # the pairs with the least node of a run settle most; of the others only those between components are left to compare
+    stars = verify(pairs.where("star"))
+    label = materialize(components(stars))
+    far = pairs.where("not star").join(label.select(F.col("node").alias("a"), F.col("label").alias("x")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left")
+    others = materialize(far.where("coalesce(x, a) <> coalesce(y, b)").select("a", "b"))
+    verified = stars.union(verify(others))
+    discard(pairs, label, others)
     more = _across(met.where("t is not null"), verified, shingles, similarity, tile)
     return verified if more is None else verified.union(more)
 
