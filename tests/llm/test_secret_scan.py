@@ -32,14 +32,32 @@ def test_ledger_scans_only_unseen_pairs(spark):
     scanned, found = s.update(docs)
     assert scanned.count() == 3 * (len(TEXTS) - 1)  # null and empty are one blob
     more = docs.union(spark.createDataFrame([(99, "passwd=zzzzzzz")], docs.schema))
-    scanned2, found2 = s.update(more, scanned, found)
+    scanned2, found2 = s.update(more, scanned)
     assert scanned2.count() == 3 and [r.rule for r in found2.collect()] == ["assign"]
     newer = (s.Rule("hex", r"[0-9a-f]{30,}", version=2), *s.RULES[:2])
-    scanned3, found3 = s.update(more, scanned.union(scanned2), found.union(found2), newer)
+    scanned3, found3 = s.update(more, scanned.union(scanned2), newer)
     assert {(r.rule, r.version) for r in scanned3.collect()} == {("hex", 2)} and {r.rule for r in found3.collect()} == {"hex"}
     whole = s.join_paths(more, found.union(found2).union(found3), newer)
     assert {r.doc_id for r in whole.where("found is not null").collect()} >= {99, 2, 5, 6}
 
 
+def test_a_written_ledger_scans_a_blob_and_a_version_once(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    ledger = s.Ledger(spark, f"file://{tmp_path}/ledger")
+    count = lambda: (ledger.scanned().count(), ledger._table("findings", s.FINDING).count())
+    first = sorted(map(tuple, s.digest(ledger.run(docs)).collect()))
+    n_scanned, n_found = count()
+    assert n_scanned == 3 * (len(TEXTS) - 1)
+    more = docs.union(spark.createDataFrame([(99, "passwd=zzzzzzz"), (100, TEXTS[4])], docs.schema))
+    again = s.digest(ledger.run(more)).collect()
+    assert count() == (n_scanned + 3, n_found + 1) and sorted(tuple(r) for r in again if r.doc_id < 99) == first
+    assert {r.doc_id: r.spans for r in again}[100] == brute(TEXTS[4])
+    both = (*s.RULES, s.Rule("hex", r"[0-9a-f]{30,}", version=2))  # two versions of a kind side by side
+    found = {(r.rule, r.version): r for r in ledger.run(more, both).where("doc_id = 6").selectExpr("explode(found) as f").select("f.*").selectExpr("rule", "rank", "start", "end", "case rank when 3 then 2 else 1 end as version").collect()}
+    text = TEXTS[6]
+    assert count()[0] == n_scanned + 3 + len(TEXTS)
+    assert [text[r.start : r.end] for k, r in sorted(found.items())] == ["0123456789abcdef0123456789abcdef"] * 2
+
+
 def test_empty(spark):
     assert s.digest(s.scan_documents(spark.createDataFrame([], "doc_id long, text string"))).count() == 0

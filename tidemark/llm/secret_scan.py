@@ -2,7 +2,8 @@
 
 Every version of a text is a blob named by the SHA-256 of its bytes. The ledger holds (blob, rule, version) triples
 already scanned and their findings. A run scans only the pairs the ledger lacks, each blob once however many paths hold
-it, and joins findings back to all paths. A rule whose version changes is scanned anew; the others are not.
+it, and joins findings back to all paths. A rule whose version changes is scanned anew; the others are not. ``Ledger`` keeps
+the triples and findings as tables in a folder: findings are appended first, so a run that is lost scans again and loses none.
 
 Defined results: a null text is the empty blob, without findings; rows repeat as often as in the input; an empty table
 gives no rows; extra columns are ignored. Offsets count code points, ends exclusive.
@@ -10,14 +11,15 @@ gives no rows; extra columns are ignored. Offsets count code points, ends exclus
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_of
+from .common import discard, materialize, shared_dir, text_of
 
 
 @dataclass(frozen=True)
@@ -71,16 +73,16 @@ def scan(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     hits = blobs.select("blob", F.array_compact(F.array(*[_hits(r, F.col("seen")) for r in rules])).alias("hits")).where(F.size("hits") > 0)
     one = hits.select("blob", F.explode("hits").alias("h")).select("blob", "h.rule", "h.version", F.posexplode("h.parts").alias("i", "p"))
     width = F.length("p.gap") + F.coalesce(F.length("p.hit"), F.lit(0))
-    over = "(partition by blob, rule order by i rows between unbounded preceding and current row)"
+    over = "(partition by blob, rule, version order by i rows between unbounded preceding and current row)"
     ends = one.withColumn("w", width.cast("long")).withColumn("end", F.expr(f"sum(w) over {over}"))
     least = F.lit(1)
     for r in rules:
-        least = F.when(F.col("rule") == r.kind, r.least).otherwise(least)
+        least = F.when((F.col("rule") == r.kind) & (F.col("version") == r.version), r.least).otherwise(least)
     found = ends.where(F.col("p.hit").isNotNull() & (F.length("p.value") >= least))
     return found.select("blob", "rule", "version", (F.col("end") - F.length("p.hit")).cast("long").alias("start"), "end")
 
 
-def update(docs: DataFrame, scanned: DataFrame | None = None, findings: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
+def update(docs: DataFrame, scanned: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
     """Scan what the ledger lacks. Returns (scanned, findings) of the run alone, to be appended to the ledger.
 
     scanned: blob, rule, version. findings: blob, rule, version, start, end; written in the shared folder.
@@ -107,9 +109,37 @@ def join_paths(docs: DataFrame, findings: DataFrame, rules: Sequence[Rule] = RUL
     return address(docs).select("doc_id", "blob").join(materialize(per), "blob", "left")
 
 
-def scan_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """doc_id, blob, found: a first run over an empty ledger."""
-    return join_paths(docs, update(docs, rules=rules)[1], rules)
+class Ledger:
+    """The tables ``scanned`` and ``findings`` in a folder that the cluster shares."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _table(self, name: str, schema: str) -> DataFrame | None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        known = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if known else None
+
+    def scanned(self) -> DataFrame | None:
+        return self._table("scanned", SCANNED)
+
+    def findings(self) -> DataFrame:
+        """A run that was lost between its two writes leaves findings that are found again: equal rows count once."""
+        return self._table("findings", FINDING).distinct()
+
+    def run(self, docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+        """Scan what the ledger lacks, append it, and join all findings back to the paths: doc_id, blob, found."""
+        pairs, new = update(docs, self.scanned(), rules)
+        new.write.mode("append").parquet(f"{self.path}/findings")
+        pairs.write.mode("append").parquet(f"{self.path}/scanned")
+        discard(new)
+        return join_paths(docs, self.findings(), rules)
+
+
+def scan_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, path: str | None = None) -> DataFrame:
+    """doc_id, blob, found, by the ledger at path (a new one by default)."""
+    spark = docs.sparkSession
+    return Ledger(spark, path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}").run(docs, rules)
 
 
 def digest(found: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
