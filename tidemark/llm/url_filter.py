@@ -4,19 +4,21 @@ The model is trained on the driver from a small labelled URL table (``labelled_u
 2**bits floats, travel with the task. Urls are scored in Arrow batches: the n-grams of a batch are hashed with numpy.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is judged by the model
-(no n-grams: the intercept alone, which allows); repeated rows get equal verdicts; extra columns are ignored.
+(no n-grams: the intercept alone; the training table holds such rows as allowed); repeated rows get equal verdicts; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS, SIZES, SEED, CUT = 16, (3, 4, 5), 11, 0.5
+BITS, SIZES, CUT = 18, (3, 4, 5), 0.5
 #: Fixed rules: verdict, host, path prefix.
 RULES = (
     ("allow", "com", "/"),
@@ -27,18 +29,28 @@ RULES = (
 )
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The training table, 1 = block: spam-like names and paths against plain ones, over the same top-level names."""
-    bad = [f"{a}-{b}" for a in ("cheap", "free", "adult", "spam", "hot", "casino", "ads") for b in ("pills", "farm", "x", "bets", "win", "track")]
-    good = ["library", "weather", "history", "gardens", "science", "museum", "cooking", "travel", "school", "poetry", "thring", "therin", "tionnd", "ererth", "ouedand", "inghas", "thther", "ananst", "bleent", "thonre", "city-news", "open-docs", "old-maps", "book-club", "free-press", "farm-school", "hot-springs", "adult-education", "fox", "forum"]
-    tops, langs = ("com", "org", "net"), ("en", "de", "fr", "es")
-    rows = []
-    for k, (names, label) in enumerate(((bad, 1), (good, 0))):
-        for i, name in enumerate(names):
-            for j, top in enumerate(tops[i % 2 : i % 2 + 2]):
-                sub = ("", "www.", "m.", "blog.")[(i + j + k) % 4]
-                tail = ("", "/", ".html", "?page=2", "#top", "?utm_source=feed")[(i * 3 + j) % 6]
-                rows.append((f"http{'s' * ((i + j) % 2)}://{sub}{name}.example.{top}/{langs[(i + 2 * j) % 4]}/{(37 * i + 101 * j) % 997}{tail}", label))
+#: Words of the rule-made training table.
+_BAD = ("casino", "poker", "jackpot", "slots", "bet", "bonus", "viagra", "pharma", "pills", "meds", "diet", "loan", "payday", "credit", "cash", "crypto", "forex", "xxx", "porn", "adult", "escort", "hookup", "replica", "crack", "warez", "keygen", "torrent", "spam", "ads", "popup", "click", "track", "prize", "winner", "cheap", "free", "hot", "deal", "promo", "coupon")
+_GOOD = ("library", "weather", "history", "garden", "science", "museum", "cooking", "travel", "school", "poetry", "news", "journal", "college", "hospital", "council", "archive", "nature", "physics", "theatre", "cinema", "orchestra", "bakery", "village", "harbour", "mountain", "railway", "chess", "painting", "language", "grammar", "forum", "wiki", "docs", "manual", "recipe", "local", "public", "open", "city", "old")
+_TOPS = ("com", "org", "net", "info", "co.uk", "de", "example.com", "example.org", "example.net")
+#: Letters of made-up names, as often as they come in English text.
+_LETTERS = "eeeeeeeeeeeettttttttaaaaaaaaooooooooiiiiiiinnnnnnnsssssshhhhhhrrrrrrddddllllcccuuummmwwffggyyppbbvkjxqz"
+_TAILS = ("", "/", ".html", "?page=2", "#top", "?id=7", "/index.php")
+
+
+def labelled_urls(n: int = 4000, seed: int = 5) -> list[tuple[str, int]]:
+    """The training table, 1 = block: hosts and paths of spam words, against plain words and plain made-up names of the same build."""
+    rng = random.Random(seed)
+    name = lambda: "".join(rng.choice(_LETTERS) for _ in range(rng.randint(4, 12)))
+    rows = [("", 0), ("no scheme", 0), ("mailto:someone", 0)] * 20
+    for i in range(n):
+        bad = int(i % 3 == 0)
+        words = _BAD if bad else _GOOD
+        pick = lambda: rng.choice(words)
+        shapes = [pick, lambda: f"{pick()}{rng.choice(('-', '', '-', '.'))}{pick()}", lambda: f"{pick()}{rng.choice(('-', ''))}{name()}", lambda: f"{name()}{rng.choice(('-', ''))}{pick()}"]
+        host = rng.choice([*shapes, lambda: f"{pick()}{rng.randint(1, 99)}"] if bad else [*shapes, *[name] * 8])()
+        path = rng.choice(("", f"/{rng.choice(('en', 'de', 'fr', 'es'))}/{rng.randint(1, 999)}", f"/{pick()}/{name()}", f"/{rng.randint(2000, 2025)}/{name()}-{pick()}"))
+        rows.append((f"http{rng.choice(('', 's'))}://{rng.choice(('', '', 'www.', 'm.', 'blog.'))}{host}.{rng.choice(_TOPS)}{path}{rng.choice(_TAILS) if path else ''}", bad))
     return rows
 
 
@@ -81,20 +93,26 @@ def margins(rows: np.ndarray, cols: np.ndarray, n: int, w: np.ndarray, b: float)
     return b + np.bincount(rows, weights=w[cols], minlength=n) / np.sqrt(np.maximum(count, 1))
 
 
-def train(table: Sequence[tuple[str, int]], bits: int = BITS, epochs: int = 300, rate: float = 1.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Full-batch logistic regression with balanced classes; deterministic."""
+def train(table: Sequence[tuple[str, int]], bits: int = BITS, epochs: int = 400, rate: float = 20.0, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Full-batch logistic regression; deterministic."""
     parts = [split_url(u) for u, _ in table]
     y = np.array([v for _, v in table], dtype=float)
     rows, cols = grams([h for h, _ in parts], [p for _, p in parts], bits)
     n = len(y)
     scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    weight = 1 / max(n, 1)
     w, b = np.zeros(1 << bits), 0.0
     for _ in range(epochs):
         g = weight * (1 / (1 + np.exp(-margins(rows, cols, n, w, b))) - y)
         w -= rate * (np.bincount(cols, weights=(g * scale)[rows], minlength=1 << bits) + l2 * w)
         b -= rate * g.sum()
-    return w.astype(np.float32), float(min(b, -0.1))
+    return w.astype(np.float32), float(b)
+
+
+@lru_cache(maxsize=1)
+def default_model() -> tuple[np.ndarray, float]:
+    """The model of the rule-made table, fitted once a session."""
+    return train(labelled_urls())
 
 
 def fit_rule(host: str, path: str, rules: Sequence[tuple[str, str, str]]) -> tuple[str, str] | None:
@@ -105,7 +123,7 @@ def fit_rule(host: str, path: str, rules: Sequence[tuple[str, str, str]]) -> tup
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, table: Sequence[tuple[str, int]] | None = None, cut: float = CUT) -> DataFrame:
     """page_id, host, path, rule, verdict and the model's block probability of every row."""
-    w, b = train(labelled_urls() if table is None else table)
+    w, b = default_model() if table is None else train(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
