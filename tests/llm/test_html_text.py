@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from tidemark.llm.html_text import extract, main_text
 
@@ -16,6 +18,15 @@ CASES = {
     "header in article": (f"<article><header><h1>Name</h1></header><p>{P}</p><footer>by</footer></article>", f"Name\n{P}"),
     "cut off": (f"<body><article><p>{P}</p><p>open <i>end", f"{P}\nopen end"),
     "stray": (f"</div></p><article><p>{P}</b></span></p></article></article>", P),
+    "form around the page": (f'<body><form id="aspnetForm" action="x"><input type="hidden"><nav>{MENU}</nav><div id="content"><h2>Title</h2><p>{P}</p><p>{P}</p></div><button>Go</button></form></body>', f"Title\n{P}\n{P}"),
+    "form in the page": (f"<body><article><p>{P}</p><p>{P}</p></article><form><p>{P}</p><label>Name</label><input></form></body>", f"{P}\n{P}"),
+    "references": (f'<article><p>{P}</p><ul><li><a href="/r1">A work on stones, by Li</a></li><li><a href="/r2">A work on rain</a></li></ul></article>', f"{P}\nA work on stones, by Li\nA work on rain"),
+    "doubtful names": (f'<article><p class="byline">By Ann Lee</p><p class="search-tips">{P}</p><div class="promo-text"><p>{P}</p></div><div class="share"><a href="/f">Post</a> <a href="/t">Send</a></div><p class="tags-explained">{P}</p></article>', f"By Ann Lee\n{P}\n{P}\n{P}"),
+    "open quote": (f'<article><p title="it>{P}</p><p class="x">second one</p></article>', f"{P}\nsecond one"),
+    "open quote, no other": (f"<article><p title='it>{P}</p><p>second one</p></article>", f"{P}\nsecond one"),
+    "markup in attribute": (f"""<article><p data-x='<b class="y">z</b>' title="a > b">{P}</p></article>""", P),
+    "definitions": (f"<article><p>{P}</p><dl><dt>one<dd>first<dt>two<dd>second</dl></article>", f"{P}\none\nfirst\ntwo\nsecond"),
+    "nested lists": (f"<article><p>{P}</p><ul><li>a<ul><li>b<li>c</ul><li>d</ul></article>", f"{P}\na\nb\nc\nd"),
     "attribute": (f'<article><p title="a > b">{P}</p></article>', P),
 }
 
@@ -33,3 +44,22 @@ def test_rows(spark):
     assert len(got) == 6 and by[1].text == by[2].text == "" and by[3].text == CASES["article"][1]
     assert "deep" in by[4].text and by[5].text.count("\n") == 19999 and all(r.n_chars == len(r.text) for r in got)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>" * 90_000 + "</span>" * 75_000,
+        "<div>" * 50_000 + "<table><tr><td>" + "<b>" * 50_000 + "</div>" * 75_000,
+        "<div>" * 60_000 + "<dt></dt>" * 70_000,
+        "<div>" * 90_000 + "<body>" * 90_000,
+        "<li><ul>" + "<b>" * 60_000 + "<li></li>" * 60_000,
+        "<a href='" * 100_000,
+        "<form>" * 80_000 + f"<p>{P}</p>" + "</p>" * 100_000,
+        f"<article><p>{P}</p>" + "<li><i>" * 60_000 + "</ul>" * 60_000,
+    ],
+)
+def test_a_megabyte_of_broken_markup_takes_linear_time(html):
+    began = time.process_time()
+    main_text(html)
+    assert time.process_time() - began < 6

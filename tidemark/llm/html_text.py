@@ -2,7 +2,8 @@
 
 The page becomes a tree (end tags implied as browsers imply them; unclosed and stray tags are borne). Parts that are no
 article by their element, role or class name (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts,
-styles) are set aside. Every paragraph with text passes points, for its length and commas and discounted by its link density, to
+styles) are set aside; a form that holds most of the page's paragraphs wraps the page and is kept, and within an article a block
+of a doubtful name is kept if it reads like prose. Every paragraph with text passes points, for its length and commas and discounted by its link density, to
 its parent in full, to the grandparent by half, and by less further up. The container with most points is taken, widened to an
 article or main element around it, and with it those of its siblings that score well or read like text. Their blocks, in
 page order, are the result; a block's white space is folded, nothing is cut.
@@ -14,14 +15,14 @@ repeated rows give equal texts; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']++|\"[^\"]*+\"(?=[\s/>]|\Z)|'[^']*+'(?=[\s/>]|\Z))*+)(?:>|\Z)|[^>]*+(?:>|\Z))", re.S)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template")}
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
@@ -34,19 +35,21 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 PARAGRAPHS = frozenset("p pre td blockquote li dd h2 h3 h4".split())
 TEXTUAL = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol dl table figure".split())
 #: Fixed words: parts of class, id and role names that mark what is no article, and what is.
-AWAY = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies dialog disqus disclaimer footer footnav form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe tags toolbar topbar trackback widget widgets complementary alert".split())
+AWAY = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies dialog disqus disclaimer footer footnav gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promoted promotion recommended respond shoutbox sidebar sidebars skip sponsor sponsored subscribe toolbar topbar trackback complementary alert".split())
+#: Parts of names that mark what is no article unless it stands within one and reads like prose.
+DOUBTFUL = frozenset("form login promo related replies reply search share sharing signup social widget widgets".split())
 STAY = frozenset("article articlebody body content entry hentry main page post story text".split())
 _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("commas", "dropped", "inside", "kids", "links", "para", "parent", "score", "size", "tag", "words")
+    __slots__ = ("anchors", "commas", "dropped", "inside", "kids", "links", "para", "parent", "score", "size", "tag", "words")
 
     def __init__(self, tag: str, parent: Node | None, words: frozenset[str], dropped: bool) -> None:
         self.tag, self.parent, self.words, self.dropped = tag, parent, words, dropped
         self.kids: list[Node | str] = []
         self.score = 0.0
-        self.size = self.links = self.commas = 0
+        self.size = self.links = self.commas = self.anchors = 0
         # whether an article is open here, and which paragraph is
         self.inside: bool = tag in ("article", "main") or parent is not None and parent.inside
         self.para: Node | None = self if tag == "p" else None if parent is None or tag in ("button", "table", "td", "th", "object") else parent.para
@@ -67,68 +70,144 @@ def _names(attrs: str) -> tuple[frozenset[str], bool]:
     return frozenset(words), hidden
 
 
+class _Stack:
+    """The open elements and, by tag, at which depths they stand."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = [root]
+        self.depths: dict[str, list[int]] = {}
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> Node:
+        node = self.nodes.pop()
+        self.depths[node.tag].pop()
+        return node
+
+    def deepest(self, tags: Iterable[str]) -> int:
+        """Depth of the innermost open element of these tags; 0 if none is open."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def cut(self, depth: int) -> None:
+        """Close all from that depth on. Each step pops an element, so all ends cost as much as all starts."""
+        while len(self.nodes) > depth:
+            self.pop()
+
+    def end(self, tag: str) -> bool:
+        """Close the innermost open element of that tag, if its end tag reaches it."""
+        depth = self.deepest((tag,))
+        if not depth or (tag not in _CROSSING and depth < self.deepest(_SCOPES)):
+            return False
+        self.cut(depth)
+        return True
+
+
+_SCOPES = frozenset(("td", "th", "table"))
+#: End tags that reach beyond a table cell.
+_CROSSING = frozenset("table tr tbody thead tfoot body html td th".split())
+
+
 def parse(html: str) -> Node:
     """The page's tree; entities in its texts are decoded."""
-    root = node = Node("#root", None, frozenset(), False)
+    root = Node("#root", None, frozenset(), False)
+    open_ = _Stack(root)
+    forms: list[Node] = []
+    doubtful: list[Node] = []
     at, n = 0, len(html)
     while at < n:
         m = _TAG.search(html, at)
         text = html[at : m.start() if m else n]
         if text:
-            node.kids.append(unescape(text) if "&" in text else text)
+            open_.top.kids.append(unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                node.kids.append(m[0][9:].removesuffix("]]>"))
+                open_.top.kids.append(m[0][9:].removesuffix("]]>"))
             continue
-        tag = m[2].lower()
+        tag, attrs = m[2].lower(), m[3] or ""
         if m[1]:
-            up = node
-            while up.tag != tag and up.parent is not None:
-                if up.tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "td", "th"):
-                    up = root
-                    break
-                up = up.parent
-            if up.tag == tag:
-                node = up.parent
-            elif tag == "br":
-                node.kids.append(" ")
+            if not open_.end(tag) and tag == "br":
+                open_.top.kids.append(" ")
             continue
         if tag == "br":
-            node.kids.append(" ")
+            open_.top.kids.append(" ")
             continue
-        if tag in ("html", "body") and any(_open(node, tag)):
+        if tag in ("html", "body") and open_.deepest((tag,)):
             continue
-        if tag in CLOSES_P and node.para is not None:
-            node = node.para.parent
+        if tag in CLOSES_P and open_.top.para is not None:
+            open_.cut(open_.deepest(("p",)))
         if tag in IMPLIED:
             ends, stop = IMPLIED[tag]
-            up, found = node, None
-            while up.parent is not None and up.tag not in stop:
-                if up.tag in ends:
-                    found = up
-                up = up.parent
-            node = found.parent if found else node
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and re.fullmatch("h[1-6]", node.tag):
-            node = node.parent
+            while (depth := open_.deepest(ends)) > open_.deepest(stop):
+                open_.cut(depth)
+        if tag in HEADINGS and open_.top.tag in HEADINGS:
+            open_.pop()
         if tag == "body":  # ends an unclosed head
-            for up in _open(node, "head"):
-                node = up.parent
-        words, hidden = _names(m[3])
+            open_.end("head")
+        node = open_.top
+        words, hidden = _names(attrs)
         off = tag in DROPPED or hidden or (tag == "header" and not node.inside) or (tag not in ("html", "body", "article", "main") and bool(words & AWAY) and not (words & STAY and not words & {"ad", "ads", "comment", "comments", "sidebar", "footer", "nav", "menu", "related", "cookie"}))
-        new = Node(tag, node, words, off)
+        unsure = not off and tag not in ("html", "body", "article", "main") and bool(words & DOUBTFUL) and not words & STAY
+        new = Node(tag, node, words, off or unsure)
+        if unsure:
+            doubtful.append(new)
+        elif tag == "form" and not hidden and not words & AWAY:
+            forms.append(new)
         node.kids.append(new)
         if tag in _RAW_END:
             end = _RAW_END[tag].search(html, at)
             at = html.find(">", end.end()) + 1 if end else n
             at = at or n
-        elif tag not in VOID and not m[3].endswith("/") or tag in ("p", "div", "li", "article", "section", "td", "a", "b", "span"):
-            node = new
+        elif tag not in VOID and not attrs.endswith("/") or tag in ("p", "div", "li", "article", "section", "td", "a", "b", "span"):
+            open_.push(new)
+    _readmit(root, forms, doubtful)
     return root
 
 
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
+def _readmit(root: Node, forms: list[Node], doubtful: list[Node]) -> None:
+    """Keep the forms that hold most of the page's paragraph text, and the doubtful blocks of an article that read like prose."""
+    if not forms and not doubtful:
+        return
+    # paragraph text and link text below each element; what lies in dropped parts counts for the doubtful part around it alone
+    prose: dict[int, list[int]] = {}
+    maybe = {id(x) for x in (*forms, *doubtful)}
+    order, todo = [], [(root, False)]
+    while todo:
+        x, para = todo.pop()
+        if x.dropped and id(x) not in maybe:
+            continue
+        para |= x.tag in PARAGRAPHS
+        order.append((x, para))
+        todo += [(k, para) for k in x.kids if not isinstance(k, str)]
+    for x, para in reversed(order):
+        text = sum(len(" ".join(k.split())) for k in x.kids if isinstance(k, str))
+        own = [text if para else 0, text if x.tag == "a" else 0, text]
+        for k in x.kids:
+            if not isinstance(k, str) and (below := prose.get(id(k))):
+                own = [a + b for a, b in zip(own, below, strict=True)]
+        if x.tag == "a":
+            own[1] = own[2]
+        prose[id(x)] = own
+    whole = prose[id(root)][0]
+    for x in doubtful:
+        para, links, text = prose.get(id(x), (0, 0, 0))
+        x.dropped = not (x.parent is not None and x.parent.inside and para >= 25 and links < 0.5 * text)
+    for x in forms:
+        para = prose.get(id(x), (0, 0, 0))[0]
+        x.dropped = not (para >= 25 and para > whole - para)
+
+
 def _open(node: Node, tag: str) -> Iterator[Node]:
     """The innermost open element of that tag, if any."""
     while node.parent is not None:
@@ -158,6 +237,7 @@ def _measure(root: Node) -> list[Node]:
             elif not k.dropped:
                 x.size += k.size
                 x.links += k.size if k.tag == "a" else k.links
+                x.anchors += (k.tag == "a") + k.anchors
                 x.commas += k.commas
     return order
 
@@ -211,12 +291,14 @@ def choose(root: Node) -> list[Node]:
 
 
 def _is_menu(x: Node) -> bool:
-    return x.tag in ("ul", "ol", "div", "section", "dl", "table") and density(x) > 0.6 and sum(1 for y in _walk(x) if y.tag == "a") > 1
+    """A block of short links outside articles. Lists of references within an article are text."""
+    return not x.inside and x.tag in ("ul", "ol", "div", "section", "dl", "table") and density(x) > 0.6 and x.anchors > 1 and x.links < 40 * x.anchors
 
 
 def blocks(nodes: list[Node]) -> Iterator[str]:
     """Texts of the blocks below nodes, in page order."""
     buffer: list[str] = []
+    chosen = {id(x) for x in nodes}
     todo: list[Node | str | None] = list(reversed(nodes))
 
     def flush() -> Iterator[str]:
@@ -230,7 +312,7 @@ def blocks(nodes: list[Node]) -> Iterator[str]:
             yield from flush()
         elif isinstance(x, str):
             buffer.append(x)
-        elif not x.dropped and not (x not in nodes and _is_menu(x)):
+        elif not x.dropped and (id(x) in chosen or not _is_menu(x)):
             block = x.tag in BLOCK or x.tag == "#root"
             if block:
                 yield from flush()
