@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -150,6 +151,25 @@ def test_drop_near_duplicates_keeps_one_of_each_group(spark):
     assert s.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+@given(st.integers(1, 3000), st.floats(0, 1), st.integers(0, 99))
+@settings(max_examples=60, deadline=None)
+def test_sketches_never_part_a_similar_pair(n, share, seed):
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    y = np.unique(np.concatenate([x[rng.random(len(x)) < share], rng.integers(0, 1 << 64, int(n * (1 - share)) // 4, dtype=np.uint64)]))
+    both = len(np.intersect1d(x, y))
+    if both >= 0.8 * (len(x) + len(y) - both):
+        assert s._may_be_similar(s._sketch(x)[None], s._sketch(y)[None], 0.8).all()
+
+
+def test_sketches_part_most_unlike_pairs():
+    rng = np.random.default_rng(1)
+    for n in (60, 300, 500, 2000, 9000):
+        rows = [s._sketch(np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64))) for _ in range(40)]
+        near = [s._may_be_similar(a[None], b[None], 0.8)[0] for i, a in enumerate(rows) for b in rows[:i]]
+        assert np.mean(near) < 0.1
+
+
 def edited_copies(rng, n, words=300):
     base = [f"w{rng.randrange(5000)}" for _ in range(words)]
     out = []
@@ -186,3 +206,15 @@ def test_groups_of_many_edited_copies_are_whole(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = set(groups_of(range(len(texts)), brute_links(texts)).values())
     assert {r.doc_id for r in s.drop_near_duplicates(docs).collect()} == want
+
+
+def test_sifting_pairs_of_sketches_of_several_widths():
+    hashes = np.random.default_rng(7).integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    sets = [hashes[k : k + n] for k, n in ((0, 500), (0, 520), (9000, 500), (0, 2100), (0, 2040))]
+    rows = [s._sketch(np.sort(x)).tobytes() for x in sets]
+    assert len({len(x) for x in rows}) == 3
+    pairs = [(i, j) for i in range(5) for j in range(5)]
+    names = ["a", "b", "star", "x", "y"]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs]), pa.array([j for _, j in pairs]), pa.array([True] * 25), pa.array([rows[i] for i, _ in pairs], pa.binary()), pa.array([rows[j] for _, j in pairs], pa.binary())], names=names)
+    got = {(r["a"], r["b"]) for out in s._sifted(0.8)([batch.slice(0, 0), batch]) for r in out.to_pylist()}
+    assert got == {(i, j) for i, j in pairs if i == j or {i, j} in ({0, 1}, {3, 4})}

@@ -17,7 +17,7 @@ component's name is the least doc_id in it that is not null (null if there is no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ from .common import discard, materialize
 SEED, RADIUS, BUCKET = 42, 3, 1024
 #: Near-duplicate stage: words a shingle, least Jaccard similarity.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Its join: nodes of a hash that meet in pairs, texts of which one is counted for the order, hashes ordered by count, side of a tile.
-RUN, SAMPLE, ORDERED, TILE = 64, 8, 100_000, 512
+#: Its join: nodes of a hash that meet in pairs, texts of which one is counted for the order, hashes ordered by count, side of a tile, least width of a sketch.
+RUN, SAMPLE, ORDERED, TILE, WIDTH = 64, 8, 100_000, 1024, 64
 BLOCK = 1 << 17
 #: Hot variant keys up to this many are sent to every task; beyond it they are joined.
 BROADCAST_KEYS = 100_000
@@ -292,7 +292,8 @@ def _meet(similarity: float, run_of: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("t", "node", "size", "pos")]
+            t, node, place = (batch.column(c).to_numpy() for c in ("t", "node", "place"))
+            cols = [t, node, place >> 32, place & 0xFFFFFFFF]
             if not len(cols[0]):
                 continue
             rest = [np.concatenate(x) for x in zip(rest, cols, strict=True)] if rest else cols
@@ -306,6 +307,72 @@ def _meet(similarity: float, run_of: int):
     return run
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """How many hashes of the sorted set s fall in each of WIDTH, or for larger sets 4, 16, ... times as many, equal ranges of hashes."""
+    width = WIDTH
+    while len(s) >= 8 * width:
+        width *= 4
+    return np.bincount((s >> np.uint64(65 - width.bit_length())).astype(np.int64), minlength=width).astype("<u2")
+
+
+def _may_be_similar(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows of sketches x and y, of one width or to be folded to the lesser, leave room for that similarity.
+
+    Two sets share no more hashes than the lesser count of each range, so no similar pair is lost.
+    """
+    width = min(x.shape[-1], y.shape[-1])
+    x, y = (v if v.shape[-1] == width else v.reshape(*v.shape[:-1], width, v.shape[-1] // width).sum(axis=-1, dtype=np.uint16) for v in (x, y))
+    total = x.sum(axis=-1, dtype=np.int64) + y.sum(axis=-1, dtype=np.int64)
+    return np.minimum(x, y).sum(axis=-1, dtype=np.int64) * (1 + similarity) >= similarity * total - 1e-6
+
+
+def _by_width(sketches: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Width of each sketch, and the sketches of a width as rows."""
+    flat = sketches.combine_chunks() if isinstance(sketches, pa.ChunkedArray) else sketches
+    raw = [np.frombuffer(v.as_buffer(), "<u2") for v in flat]
+    width = np.array([len(v) for v in raw], dtype=np.int64)
+    return width, {int(w): np.stack([raw[i] for i in np.flatnonzero(width == w)]) for w in np.unique(width)}
+
+
+def _sifted(similarity: float):
+    """Of pairs with their sketches, those that may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            (wx, xs), (wy, ys) = _by_width(batch.column(3)), _by_width(batch.column(4))
+            for w in xs:
+                for v in ys:
+                    rows = np.flatnonzero((wx == w) & (wy == v))
+                    x, y = (m[np.searchsorted(np.flatnonzero(width == k), rows)] for m, width, k in ((xs[w], wx, w), (ys[v], wy, v)))
+                    keep[rows] = _may_be_similar(x, y, similarity)
+            yield batch.select([0, 1, 2]).filter(pa.array(keep))
+
+    return run
+
+
+def _sift_tile(similarity: float):
+    """node: the odd rows of a tile that may be similar to a row of another label, and those rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        odd = table.column("odd").to_numpy()
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        width, rows = _by_width(table.column("sketch"))
+        place = np.zeros(len(node), dtype=np.int64)
+        for w in rows:
+            place[width == w] = np.arange(len(rows[w]))
+        others = {w: np.flatnonzero(~odd & (width == w)) for w in rows}
+        found = np.zeros(len(node), dtype=bool)
+        for x in np.flatnonzero(odd):
+            for w, some in others.items():
+                near = some[(label[some] != label[x]) & _may_be_similar(rows[int(width[x])][place[x]][None], rows[w][place[some]], similarity)]
+                found[near] = True
+                found[x] |= len(near) > 0
+        return pa.table({"node": np.unique(node[found])})
+
+    return run
+
+
 def _tile(similarity: float):
     """a, b: for each odd row of a tile, one similar row of each other label."""
 
@@ -335,10 +402,22 @@ def _tile(similarity: float):
     return run
 
 
-def _across(hot: DataFrame, verified: DataFrame, shingles: DataFrame, similarity: float, tile: int) -> DataFrame | None:
-    """a, b: similar pairs between the components of the verified links that share a hash of hot (a: its least node, b, t); none if none do.
+def _tiles(own: DataFrame, value: DataFrame, tile: int) -> DataFrame:
+    """Rows of own (node, label, g) with their value, dealt to tiles (g, i, j) of about tile odd rows, those outside the group's largest component, and tile rows of all."""
+    sizes = own.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("k"))
+    sizes = materialize(sizes.select("g", F.col("m.label").alias("main"), F.ceil(F.col("k") / tile).alias("nj"), F.ceil((F.col("k") - F.col("m.k")) / tile).alias("ni")).where("ni > 0"))
+    rows = own.join(sizes, "g").join(value, "node").withColumn("h", F.xxhash64("node"))
+    named = ["node", "label", *[c for c in value.columns if c != "node"]]
+    every = rows.select("g", F.explode(F.expr("sequence(0L, ni - 1)")).alias("i"), F.expr("pmod(h, nj)").alias("j"), F.lit(False).alias("odd"), *named)
+    odd = rows.where("label <> main").select("g", F.expr("pmod(h, ni)").alias("i"), F.explode(F.expr("sequence(0L, nj - 1)")).alias("j"), F.lit(True).alias("odd"), *named)
+    return every.union(odd)
+
 
-    Nodes tied by such hashes are a group. All its nodes outside its largest component meet all its nodes, in tiles of about tile x tile.
+def _across(hot: DataFrame, verified: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, tile: int) -> DataFrame | None:
+    """a, b: similar pairs between the components of the verified links, of nodes that share a hash of hot (a: its least node, b, t).
+
+    Nodes tied by such hashes are a group. All its nodes outside its largest component meet all its nodes, in tiles of about tile x tile:
+    first their sketches, then the whole sets of the nodes that have a likely partner. A tile gives no more than one link a row and component.
     """
     label = materialize(components(verified))
     named = materialize(hot.select("t", "a", F.col("b").alias("node")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
@@ -349,12 +428,11 @@ def _across(hot: DataFrame, verified: DataFrame, shingles: DataFrame, similarity
     left = materialize(named.join(F.broadcast(open_) if n_open <= BROADCAST_KEYS else open_, "t", "left_semi").select("a", "node", "label").distinct())
     group = components(left.select("a", F.col("node").alias("b")))
     own = materialize(left.select("node", F.col("label").alias("c")).distinct().join(group, "node", "left").select("node", F.col("c").alias("label"), F.coalesce("label", "node").alias("g")))
-    sizes = own.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("k"))
-    sizes = materialize(sizes.select("g", F.col("m.label").alias("main"), F.ceil(F.col("k") / tile).alias("nj"), F.ceil((F.col("k") - F.col("m.k")) / tile).alias("ni")))
-    rows = own.join(sizes, "g").join(shingles, "node").withColumn("h", F.xxhash64("node"))
-    every = rows.select("g", F.explode(F.expr("sequence(0L, ni - 1)")).alias("i"), F.expr("pmod(h, nj)").alias("j"), F.lit(False).alias("odd"), "node", "label", "s")
-    odd = rows.where("label <> main").select("g", F.expr("pmod(h, ni)").alias("i"), F.explode(F.expr("sequence(0L, nj - 1)")).alias("j"), F.lit(True).alias("odd"), "node", "label", "s")
-    return every.union(odd).groupBy("g", "i", "j").applyInArrow(_tile(similarity), "a long, b long")
+    likely = materialize(_tiles(own, sketches, tile).groupBy("g", "i", "j").applyInArrow(_sift_tile(similarity), "node long").distinct())
+    whole = sets_of(likely)
+    pairs = materialize(_tiles(materialize(own.join(likely, "node", "left_semi")), whole, tile).groupBy("g", "i", "j").applyInArrow(_tile(similarity), "a long, b long").distinct())
+    discard(label, named, open_, left, own, likely, whole)
+    return pairs
 
 
 def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, only: DataFrame | None = None, run_of: int = RUN, sample: int = SAMPLE, tile: int = TILE) -> DataFrame:
@@ -363,8 +441,9 @@ def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILA
     only: the nodes to compare, if not all; joined to the prefixes, not to the texts.
 
     An exact prefix-filter join: similar sets share one of their rarest hashes. Nodes of a hash in up to run_of prefixes meet in pairs; of
-    a more common one all meet its least node first, then only those that are still in different components meet (_across). Which hashes
-    count as common, from one text in sample, orders the work and leaves the result alone.
+    a more common one all meet its least node first, then only those that are still in different components meet (_across). Pairs whose
+    sketches leave no room for the similarity go; the others are verified on their whole sets, those with a run's least node first.
+    Which hashes count as common, from one text in sample, orders the work and leaves the result alone.
     """
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,40 +462,48 @@ def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILA
             both = [_prefix(s, similarity, common, counts) for s in sets]
             size = pa.array([len(s) for s in sets], pa.int64())
             rare, hot = (pa.array([x[c] for x in both], pa.list_(pa.int64())) for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, rare, hot], names=["node", "size", "rare", "hot"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, rare, hot, pa.array([_sketch(s).tobytes() for s in sets], pa.binary())], names=["node", "size", "rare", "hot", "sketch"])
 
-    own = texts.select("node", "text").mapInArrow(prefixes, "node long, size long, rare array<long>, hot array<long>")
+    own = texts.select("node", "text").mapInArrow(prefixes, "node long, size long, rare array<long>, hot array<long>, sketch binary")
     own = materialize(own if only is None else own.join(only, "node", "left_semi"))
-    rare = own.select("node", "size", F.posexplode("rare").alias("pos", "t")).select("t", "node", "size", F.col("pos").cast("long").alias("pos"))
+    sketches = materialize(own.select("node", "sketch"))
+    rare = own.select("node", "size", F.posexplode("rare").alias("pos", "t")).select("t", "node", F.expr("shiftleft(size, 32) + pos").alias("place"))  # narrow rows: they are the largest shuffle but the texts
     met = rare.repartition("t").sortWithinPartitions("t").mapInArrow(_meet(similarity, run_of), "a long, b long, t long, star boolean")
     hot = own.select("node", F.explode("hot").alias("t"))
     least = hot.groupBy("t").agg(F.min("node").alias("a"))  # at most ORDERED rows
     met = materialize(met.union(hot.join(F.broadcast(least), "t").select("a", F.col("node").alias("b"), "t", F.lit(True))))
-    pairs = materialize(met.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star")))
     discard(own)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    pairs = met.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star"))
+    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    pairs = materialize(both.select("a", "b", "star", "x", "y").mapInArrow(_sifted(similarity), "a long, b long, star boolean"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, text in zip(batch.column(0), batch.column(1), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([shingle_set(text.as_py(), n).view(np.int64)], pa.list_(pa.int64()))], names=["node", "s"])
 
-    # the texts are shuffled at any size of the corpus, as no bound on the nodes makes a broadcast safe
-    shingles = materialize(texts.join(needed.hint("merge"), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<long>"))
+    def sets_of(needed: DataFrame) -> DataFrame:
+        few = F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed.hint("merge")
+        return materialize(texts.join(few, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<long>"))
 
     def verify(some: DataFrame) -> DataFrame:
-        both = some.join(shingles.select(F.col("node").alias("a"), "s"), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
+        needed = materialize(some.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        whole = sets_of(needed)
+        both = some.join(whole.select(F.col("node").alias("a"), "s"), "a").join(whole.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
         shared = F.size(F.array_intersect("s", "t"))
-        return materialize(both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b"))
+        out = materialize(both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b"))
+        discard(needed, whole)
+        return out
 
     # the pairs with the least node of a run settle most; of the others only those between components are left to compare
-    stars = verify(pairs.where("star"))
-    label = materialize(components(stars))
+    verified = verify(pairs.where("star").select("a", "b"))
+    label = materialize(components(verified))
     far = pairs.where("not star").join(label.select(F.col("node").alias("a"), F.col("label").alias("x")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left")
     others = materialize(far.where("coalesce(x, a) <> coalesce(y, b)").select("a", "b"))
-    verified = stars.union(verify(others))
+    verified = verified.union(verify(others))
     discard(pairs, label, others)
-    more = _across(met.where("t is not null"), verified, shingles, similarity, tile)
+    more = _across(met.where("t is not null"), verified, sketches, sets_of, similarity, tile)
+    discard(sketches, met)
     return verified if more is None else verified.union(more)
 
 
