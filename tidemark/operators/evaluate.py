@@ -127,13 +127,9 @@ FROM {null_scores} n JOIN (SELECT avg(bal) AS bal FROM {metrics}) o ON o.bal >=
 step("soft_vote", """
 SELECT repeat, subject, y, k, round(exp(g - hi) / sum(exp(g - hi)) OVER (PARTITION BY repeat, subject) + 1e-9, 6) AS p
 FROM (SELECT *, max(g) OVER (PARTITION BY repeat, subject) AS hi FROM (
-  SELECT repeat, subject, y, k, avg(ln(greatest(least(p, 1), 1e-7))) AS g FROM (
+  SELECT repeat, subject, y, k, CASE WHEN count(*) = 2 THEN avg(ln(greatest(least(p, 1), 1e-7))) ELSE CAST(raise_error('the members of a vote differ in their subjects') AS double) END AS g FROM (
     SELECT repeat, subject, y, k, p FROM {subject_proba} UNION ALL
-    SELECT s.repeat, s.subject, s.y, s.k, d.p FROM {subject_proba} s JOIN (SELECT label, count(*) * 1.0 / sum(count(*)) OVER () AS p FROM {epochs3} GROUP BY label) d ON d.label = s.k) GROUP BY repeat, subject, y, k HAVING count(*) = 2))""")
-step("select_best", """
-SELECT repeat, candidate FROM (SELECT repeat, candidate, row_number() OVER (PARTITION BY repeat ORDER BY round(score, 9) DESC, candidate) AS rn FROM (
-  SELECT repeat, 0 AS candidate, avg(CASE WHEN y = pred THEN 1e0 ELSE 0e0 END) AS score FROM {verdicts} GROUP BY repeat UNION ALL
-  SELECT repeat, 1 AS candidate, avg(CASE WHEN y = pred THEN 1e0 ELSE 0e0 END) AS score FROM {prior_verdicts} GROUP BY repeat)) WHERE rn = 1""")
+    SELECT s.repeat, s.subject, s.y, s.k, d.p FROM {subject_proba} s JOIN (SELECT label, count(*) * 1.0 / sum(count(*)) OVER () AS p FROM {epochs3} GROUP BY label) d ON d.label = s.k) GROUP BY repeat, subject, y, k))""")
 step("distances_by_group", """
 SELECT f.repeat, f.fold, c.subject, c.label AS y, c.epoch, m.label AS k, CAST(floor(c.j / 16) AS bigint) AS grp, sum(power(c.v - m.m, 2)) AS d
 FROM {cells3} c JOIN {folds} f ON c.subject = f.subject JOIN {centroids} m ON m.repeat = f.repeat AND m.fold = f.fold AND m.j = c.j

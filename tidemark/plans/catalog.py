@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import tidemark.functions.spectral
 import tidemark.operators.evaluate
+import tidemark.operators.protocol
+import tidemark.operators.recording
 import tidemark.operators.stats
 import tidemark.operators.windows
 import tidemark.sources.tables  # noqa: F401

@@ -64,7 +64,7 @@ def duckdb_sql(name: str) -> str:
         if isinstance(s, Step):
             for x in s.needs:
                 add(x)
-            text = _NAME.sub(r"\1", s.sql).replace("percentile(", "quantile_cont(")
+            text = _NAME.sub(r"\1", s.sql).replace("percentile(", "quantile_cont(").replace("raise_error(", "error(")
         else:
             text = s.duckdb
         done[n] = text
