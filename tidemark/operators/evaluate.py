@@ -22,9 +22,9 @@ SELECT count(*) AS leaks FROM (SELECT repeat, fold, subject FROM {roles} WHERE r
 step("unknown_subjects", "SELECT subject FROM {epochs} EXCEPT SELECT subject FROM {subjects}")
 step("required_inputs", "SELECT 'feat' AS input UNION SELECT 'cov' AS input UNION SELECT 'feat' AS input")
 step("split_epochs", "SELECT f.repeat, CAST(f.fold AS bigint) AS fold, e.subject, e.epoch FROM {epochs3} e JOIN {folds} f ON e.subject = f.subject")
-step("balanced_weights", """
-SELECT subject, epoch, round(w / avg(w) OVER () + 1e-9, 6) AS weight
-FROM (SELECT e.subject, e.epoch, 1.0 / count(*) OVER (PARTITION BY e.subject) / c.n AS w FROM {epochs3} e JOIN (SELECT label, count(*) AS n FROM {subjects} GROUP BY label) c ON e.label = c.label)""")
+step("raw_weights", "SELECT e.subject, e.epoch, 1e0 / count(*) OVER (PARTITION BY e.subject) / c.n AS w FROM {epochs3} e JOIN (SELECT label, count(*) AS n FROM {subjects} GROUP BY label) c ON e.label = c.label", public=False)
+# the mean is one row sent to all tasks: a window over everything would be a single task
+step("balanced_weights", "SELECT w.subject, w.epoch, round(w.w / m.m, 6) AS weight FROM {raw_weights} w JOIN (SELECT avg(w) AS m FROM {raw_weights}) m ON m.m > 0")
 step("class_weights", "SELECT label, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)) + 1e-9, 6) AS weight FROM {epochs3} GROUP BY label")
 step("subsample_cap", "SELECT subject, epoch FROM (SELECT subject, epoch, row_number() OVER (PARTITION BY subject ORDER BY md5(concat('7#', CAST(epoch AS string)))) AS rn FROM {epochs3}) WHERE rn <= 3")
 step("undersample", "SELECT label, epoch FROM (SELECT label, epoch, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(epoch AS string))) AS rn FROM {epochs}) WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM {epochs} GROUP BY label))")
