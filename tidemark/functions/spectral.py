@@ -2,22 +2,25 @@
 
 from tidemark.plans.portable import step
 
+# an epoch is one array: its sums need no shuffle
 step("dft", """
+SELECT epoch, k, aggregate(transform(x, (v, j) -> v * cos(2 * pi() * k * j / 64)), 0D, (a, b) -> a + b) AS re, -aggregate(transform(x, (v, j) -> v * sin(2 * pi() * k * j / 64)), 0D, (a, b) -> a + b) AS im
+FROM (SELECT epoch, x, explode(sequence(0L, 32L)) AS k FROM {signals})""", public=False, duckdb="""
 SELECT c.epoch, b.k, sum(c.v * cos(2 * pi() * b.k * c.j / 64)) AS re, -sum(c.v * sin(2 * pi() * b.k * c.j / 64)) AS im
-FROM {cells} c JOIN {bins} b ON b.k >= 0 GROUP BY c.epoch, b.k""", public=False)
+FROM {cells} c JOIN {bins} b ON b.k >= 0 GROUP BY c.epoch, b.k""")
 step("psd", "SELECT epoch, k, (re * re + im * im) / 4096 * (CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END) AS p FROM {dft}", public=False)
 step("psd_dft", "SELECT epoch, k, round(p + 1e-9, 6) AS p FROM {psd}")
+# power is density times the width of a bin (1 Hz), over 0.5-45 Hz, of which 64 Hz leave what is below 32 Hz
 step("bands", """
-SELECT epoch, sum(CASE WHEN k >= 1 AND k < 4 THEN p ELSE 0 END) AS delta, sum(CASE WHEN k >= 4 AND k < 8 THEN p ELSE 0 END) AS theta,
-       sum(CASE WHEN k >= 8 AND k < 13 THEN p ELSE 0 END) AS alpha, sum(CASE WHEN k >= 13 AND k <= 25 THEN p ELSE 0 END) AS beta,
-       sum(CASE WHEN k >= 1 AND k <= 25 THEN p ELSE 0 END) AS total FROM {psd} GROUP BY epoch""", public=False)
-step("band_power", "SELECT epoch, round(delta + 1e-9, 6) AS delta, round(theta + 1e-9, 6) AS theta, round(alpha + 1e-9, 6) AS alpha, round(beta + 1e-9, 6) AS beta FROM {bands}")
+SELECT epoch, sum(CASE WHEN k >= 0.5 AND k < 4 THEN p ELSE 0 END) AS delta, sum(CASE WHEN k >= 4 AND k < 8 THEN p ELSE 0 END) AS theta, sum(CASE WHEN k >= 8 AND k < 13 THEN p ELSE 0 END) AS alpha,
+       sum(CASE WHEN k >= 13 AND k < 25 THEN p ELSE 0 END) AS beta, sum(CASE WHEN k >= 25 AND k <= 45 THEN p ELSE 0 END) AS gamma, sum(CASE WHEN k >= 0.5 AND k <= 45 THEN p ELSE 0 END) AS total FROM {psd} GROUP BY epoch""", public=False)
+step("band_power", "SELECT epoch, round(delta + 1e-9, 6) AS delta, round(theta + 1e-9, 6) AS theta, round(alpha + 1e-9, 6) AS alpha, round(beta + 1e-9, 6) AS beta, round(gamma + 1e-9, 6) AS gamma, round(total + 1e-9, 6) AS total FROM {bands}")
 step("relative_power", """
-SELECT epoch, round(delta / nullif(total, 0) + 1e-9, 6) AS delta, round(theta / nullif(total, 0) + 1e-9, 6) AS theta, round(alpha / nullif(total, 0) + 1e-9, 6) AS alpha,
+SELECT epoch, round(delta / nullif(total, 0) + 1e-9, 6) AS delta, round(theta / nullif(total, 0) + 1e-9, 6) AS theta, round(alpha / nullif(total, 0) + 1e-9, 6) AS alpha, round(beta / nullif(total, 0) + 1e-9, 6) AS beta, round(gamma / nullif(total, 0) + 1e-9, 6) AS gamma,
        round(ln(theta / nullif(alpha, 0)) / ln(10) + 1e-9, 6) AS log_theta_alpha, round(ln((delta + theta) / nullif(alpha + beta, 0)) / ln(10) + 1e-9, 6) AS log_slow_fast FROM {bands}""")
 step("psd_share", """
 SELECT epoch, k, p, p / nullif(sum(p) OVER (PARTITION BY epoch), 0) AS q, sum(p) OVER (PARTITION BY epoch ORDER BY k) / nullif(sum(p) OVER (PARTITION BY epoch), 0) AS cdf
-FROM {psd} WHERE k >= 1 AND k <= 25""", public=False)
+FROM {psd} WHERE k >= 0.5 AND k <= 45""", public=False)
 step("spectral_entropy", "SELECT epoch, round(-sum(q * ln(q + 1e-20)) / ln(count(*)) + 1e-9, 6) AS entropy FROM {psd_share} GROUP BY epoch")
 step("median_freq", "SELECT epoch, min(CASE WHEN cdf >= 0.5 THEN k END) AS median_hz, min(CASE WHEN cdf >= 0.95 THEN k END) AS sef95_hz FROM {psd_share} GROUP BY epoch")
 step("peak_freq", """

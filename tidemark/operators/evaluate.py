@@ -28,7 +28,12 @@ step("balanced_weights", "SELECT w.subject, w.epoch, round(w.w / m.m, 6) AS weig
 step("class_weights", "SELECT label, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)) + 1e-9, 6) AS weight FROM {epochs3} GROUP BY label")
 step("subsample_cap", "SELECT subject, epoch FROM (SELECT subject, epoch, row_number() OVER (PARTITION BY subject ORDER BY md5(concat('7#', CAST(epoch AS string)))) AS rn FROM {epochs3}) WHERE rn <= 3")
 step("undersample", "SELECT label, epoch FROM (SELECT label, epoch, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(epoch AS string))) AS rn FROM {epochs}) WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM {epochs} GROUP BY label))")
-step("systematic_sample", "SELECT epoch FROM (SELECT epoch, row_number() OVER (ORDER BY epoch) AS rn FROM {epochs}) WHERE rn % 5 = 1")
+# places within blocks of keys, after the rows of earlier blocks: only one row a block is ordered as a whole
+step("epoch_blocks", "SELECT epoch, CAST(floor(epoch / 65536) AS bigint) AS block FROM {epochs}", public=False)
+step("systematic_sample", """
+SELECT e.epoch FROM (SELECT epoch, block, row_number() OVER (PARTITION BY block ORDER BY epoch) AS rn FROM {epoch_blocks}) e
+JOIN (SELECT block, sum(n) OVER (ORDER BY block) - n AS earlier FROM (SELECT block, count(*) AS n FROM {epoch_blocks} GROUP BY block)) o ON o.block = e.block WHERE (o.earlier + e.rn) % 5 = 1""",
+     duckdb="SELECT epoch FROM (SELECT epoch, row_number() OVER (ORDER BY epoch) AS rn FROM {epochs}) WHERE rn % 5 = 1")
 step("subject_mean", "SELECT subject, j, round(avg(v) + 1e-9, 6) AS v FROM {cells3} GROUP BY subject, j")
 step("label_recode", "SELECT subject, CASE label WHEN 0 THEN 'AD' WHEN 1 THEN 'CN' ELSE 'FTD' END AS diagnosis FROM {subjects}")
 step("label_permute", """
@@ -64,7 +69,9 @@ step("midranks", """
 SELECT repeat, k, y, rank() OVER (PARTITION BY repeat, k ORDER BY p) + (count(*) OVER (PARTITION BY repeat, k, p) - 1) / 2.0 AS r FROM {subject_proba}""", public=False)
 step("auc", """
 SELECT repeat, k, (sum(CASE WHEN y = k THEN r ELSE 0 END) - sum(CASE WHEN y = k THEN 1 ELSE 0 END) * (sum(CASE WHEN y = k THEN 1 ELSE 0 END) + 1) / 2.0)
-       / nullif(sum(CASE WHEN y = k THEN 1 ELSE 0 END) * sum(CASE WHEN y <> k THEN 1 ELSE 0 END), 0) AS auc FROM {midranks} GROUP BY repeat, k""", public=False)
+       / nullif(sum(CASE WHEN y = k THEN 1 ELSE 0 END) * sum(CASE WHEN y <> k THEN 1 ELSE 0 END), 0) AS auc FROM {midranks} GROUP BY repeat, k""", public=False, duckdb="""
+SELECT a.repeat, a.k, avg(CASE WHEN a.p > b.p THEN 1e0 WHEN a.p = b.p THEN 0.5e0 ELSE 0e0 END) AS auc FROM {subject_proba} a JOIN {subject_proba} b ON b.repeat = a.repeat AND b.k = a.k AND b.y <> b.k
+WHERE a.y = a.k GROUP BY a.repeat, a.k""")
 step("auc_ovr", "SELECT repeat, k, round(auc + 1e-9, 6) AS auc FROM {auc}")
 step("metrics", """
 SELECT c.repeat, avg(tp / nullif(support, 0)) AS bal, sum(tp) / max(n) AS acc, avg(coalesce(2.0 * tp / nullif(tp + fp + support, 0), 0)) AS f1, max(a.auc) AS auc
@@ -74,19 +81,25 @@ step("per_fold", "SELECT repeat, CAST(fold AS bigint) AS fold, round(avg(CASE WH
 step("mean_sd", "SELECT round(avg(bal) + 1e-9, 6) AS mean, round(coalesce(stddev_samp(bal), 0) + 1e-9, 6) AS sd FROM {metrics}")
 step("pairwise_accuracy", """
 SELECT a.k AS a, b.k AS b, round((a.tp + b.tp) / (a.support + b.support) + 1e-9, 6) AS accuracy FROM {per_class} a JOIN {per_class} b ON a.repeat = b.repeat AND a.k < b.k WHERE a.repeat = 0""")
-step("draws", """
-SELECT b, label, subject, count(*) AS mult FROM (
-  SELECT n.b, s.label, s.rn, 1 + CAST(floor(u.h * s.n) AS bigint) AS pick, s.n
-  FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY subject) AS rn, count(*) OVER (PARTITION BY label) AS n FROM {subjects}) s JOIN {numbers} n ON n.b >= 0
-  JOIN (SELECT b, rn, (ascii(substring(m, 1, 1)) * 7919 + ascii(substring(m, 5, 1)) * 104729 + ascii(substring(m, 9, 1)) * 1299709 + ascii(substring(m, 13, 1)) * 15485863) % 10007 / 10007.0 AS h
-        FROM (SELECT b, rn, md5(concat(CAST(b AS string), ':', CAST(rn AS string))) AS m FROM {numbers} JOIN (SELECT DISTINCT row_number() OVER (PARTITION BY label ORDER BY subject) AS rn FROM {subjects}) ON rn > 0)) u
-    ON u.b = n.b AND u.rn = s.rn) d
-JOIN (SELECT label AS l2, subject, row_number() OVER (PARTITION BY label ORDER BY subject) AS rn2 FROM {subjects}) t ON t.l2 = d.label AND t.rn2 = d.pick GROUP BY b, label, subject""", public=False)
+step("ranked_subjects", "SELECT label, subject, row_number() OVER (PARTITION BY label ORDER BY subject) AS rn, count(*) OVER (PARTITION BY label) AS n FROM {subjects}", public=False)
+# the first 32 bits of md5 as a number, modulo the subjects of the class
+step("picks", """
+SELECT d.b, s.label, 1 + CAST(conv(substring(md5(concat(CAST(d.b AS string), ':', CAST(s.label AS string), ':', CAST(s.rn AS string))), 1, 8), 16, 10) AS bigint) % s.n AS pick
+FROM {ranked_subjects} s JOIN {boot_numbers} d ON d.b >= 0""", public=False, duckdb="""
+SELECT d.b, s.label, 1 + CAST(concat('0x', substring(md5(concat(CAST(d.b AS string), ':', CAST(s.label AS string), ':', CAST(s.rn AS string))), 1, 8)) AS bigint) % s.n AS pick
+FROM {ranked_subjects} s JOIN {boot_numbers} d ON d.b >= 0""")
+step("draws", "SELECT p.b, p.label, s.subject, count(*) AS mult FROM {picks} p JOIN {ranked_subjects} s ON s.label = p.label AND s.rn = p.pick GROUP BY p.b, p.label, s.subject", public=False)
 step("bootstrap_draws", "SELECT b, label, subject, mult FROM {draws}")
 step("boot", """
 SELECT b, avg(bal) AS bal FROM (SELECT b, repeat, avg(rec) AS bal FROM (
   SELECT d.b, v.repeat, v.y, sum(CASE WHEN v.pred = v.y THEN d.mult ELSE 0 END) / sum(d.mult) AS rec FROM {draws} d JOIN {verdicts} v ON v.subject = d.subject GROUP BY d.b, v.repeat, v.y) GROUP BY b, repeat) GROUP BY b""", public=False)
 step("bootstrap_ci", "SELECT round(percentile(bal, 0.025) + 1e-9, 6) AS lo, round(percentile(bal, 0.975) + 1e-9, 6) AS hi, round(avg(bal) + 1e-9, 6) AS mean FROM {boot}")
+# at epoch level a draw keeps the whole subject: its hits and epochs count as often as it was drawn
+step("epoch_hits", """
+SELECT repeat, subject, y, sum(CASE WHEN k = y THEN 1 ELSE 0 END) AS hits, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY repeat, epoch ORDER BY d, k) AS rn FROM {distances}) WHERE rn = 1 GROUP BY repeat, subject, y""", public=False)
+step("bootstrap_ci_epochs", """
+SELECT round(percentile(bal, 0.025) + 1e-9, 6) AS lo, round(percentile(bal, 0.975) + 1e-9, 6) AS hi, round(avg(bal) + 1e-9, 6) AS mean FROM (SELECT b, avg(rec) AS bal FROM (
+  SELECT d.b, h.repeat, h.y, sum(h.hits * d.mult) * 1e0 / sum(h.n * d.mult) AS rec FROM {draws} d JOIN {epoch_hits} h ON h.subject = d.subject GROUP BY d.b, h.repeat, h.y) GROUP BY b)""")
 step("prior_verdicts", "SELECT v.repeat, v.subject, v.y, m.label AS pred FROM {verdicts} v JOIN (SELECT label FROM (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) AS rn FROM {epochs3} GROUP BY label) WHERE rn = 1) m ON v.y >= 0", public=False)
 step("prior_dummy", "SELECT label, round(count(*) / sum(count(*)) OVER () + 1e-9, 6) AS p FROM {epochs3} GROUP BY label")
 step("paired_diff", """

@@ -10,11 +10,16 @@ SELECT j, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)
 step("ranked", "SELECT j, label, rank() OVER (PARTITION BY j ORDER BY v) + (count(*) OVER (PARTITION BY j, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY j, v) AS ties, count(*) OVER (PARTITION BY j) AS n FROM {feature_rows}", public=False)
 step("kruskal_h", """
 SELECT g.j, (12.0 / (max(g.n) * (max(g.n) + 1)) * sum(g.s * g.s / g.c) - 3 * (max(g.n) + 1)) / max(t.fix) AS h FROM (SELECT j, label, sum(r) AS s, count(*) AS c, max(n) AS n FROM {ranked} GROUP BY j, label) g
-JOIN (SELECT j, 1 - sum(ties * ties - 1.0) / (1.0 * max(n) * max(n) * max(n) - max(n)) AS fix FROM {ranked} GROUP BY j) t ON g.j = t.j GROUP BY g.j""", public=False)
+JOIN (SELECT j, 1 - sum(ties * ties - 1.0) / (1.0 * max(n) * max(n) * max(n) - max(n)) AS fix FROM {ranked} GROUP BY j) t ON g.j = t.j GROUP BY g.j""", public=False, duckdb="""
+WITH r AS (SELECT a.j, a.label, a.subject, sum(CASE WHEN b.v < a.v THEN 1 WHEN b.v = a.v THEN 0.5 ELSE 0 END) + 0.5 AS r FROM {feature_rows} a JOIN {feature_rows} b ON a.j = b.j GROUP BY a.j, a.label, a.subject),
+     m AS (SELECT j, label, avg(r) AS own, count(*) AS c FROM r GROUP BY j, label), n AS (SELECT j, avg(r) AS every, count(*) AS c, var_pop(r) * count(*) AS spread FROM r GROUP BY j)
+SELECT n.j, (max(n.c) - 1) * sum(m.c * power(m.own - n.every, 2)) / max(n.spread) AS h FROM m JOIN n ON m.j = n.j GROUP BY n.j""")
 step("kruskal", "SELECT j, round(h + 1e-9, 6) AS h, round(exp(-h / 2) + 1e-9, 6) AS p FROM {kruskal_h}")
 step("fdr", """
 SELECT j, p, least(1.0, min(p * m / rn) OVER (ORDER BY rn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q
-FROM (SELECT j, exp(-h / 2) AS p, row_number() OVER (ORDER BY h DESC, j) AS rn, count(*) OVER () AS m FROM {kruskal_h})""", public=False)
+FROM (SELECT j, exp(-h / 2) AS p, row_number() OVER (ORDER BY h DESC, j) AS rn, count(*) OVER () AS m FROM {kruskal_h})""", public=False, duckdb="""
+SELECT a.j, a.p, least(1.0, min(b.p * b.m / b.upto)) AS q FROM (SELECT j, exp(-h / 2) AS p FROM {kruskal_h}) a
+JOIN (SELECT x.j, exp(-x.h / 2) AS p, count(*) AS upto, (SELECT count(*) FROM {kruskal_h}) AS m FROM {kruskal_h} x JOIN {kruskal_h} y ON y.h >= x.h GROUP BY x.j, x.h) b ON b.p >= a.p GROUP BY a.j, a.p""")
 step("bh_fdr", "SELECT j, round(p + 1e-9, 6) AS p, round(q + 1e-9, 6) AS q FROM {fdr}")
 step("fdr_count", "SELECT count(*) AS n FROM {fdr} WHERE q < 0.05")
 step("sort_by_p", "SELECT j, rn FROM (SELECT j, row_number() OVER (ORDER BY p, j) AS rn FROM {fdr}) WHERE rn <= 15")

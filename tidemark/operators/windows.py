@@ -16,7 +16,7 @@ step("amp_centre", """
 SELECT user_id, count(*) AS kept, median(amp) AS med FROM {window_marks} WHERE hit = 0 GROUP BY user_id""", public=False)
 step("amp_spread", """
 SELECT m.user_id, c.kept, c.med, median(abs(m.amp - c.med)) AS mad
-FROM {window_marks} m JOIN {amp_centre} c ON m.user_id = c.user_id WHERE m.hit = 0 GROUP BY m.user_id, c.kept, c.med""", public=False)
+FROM {window_marks} m JOIN {amp_centre} c ON m.user_id = c.user_id WHERE m.hit = 0 GROUP BY m.user_id, c.kept, c.med""", public=False, duckdb="SELECT user_id, count(*) AS kept, median(amp) AS med, mad(amp) AS mad FROM {window_marks} WHERE hit = 0 GROUP BY user_id")
 step("window_fate", """
 SELECT m.user_id, m.epoch, m.hit,
        CASE WHEN m.hit = 0 AND s.kept > 5 AND m.amp > s.med + 5 * (1.4826 * s.mad + 1e-12) THEN 1 ELSE 0 END AS loud

@@ -1,7 +1,8 @@
 """Named relational steps: each is one declarative statement over earlier ones, planned by Catalyst as a whole.
 
 A step's statement uses only what Spark SQL and other engines share, so a reference engine can check the same chain. Bases
-are the points where engines differ (arrays, tables): they carry one form for each.
+are the points where engines differ (arrays, tables): they carry one form for each. A step may carry a form of its own for the
+reference engine, another way to the same rows, so that the check is of the meaning and not of one text.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ class Base:
 class Step:
     sql: str
     public: bool = True
+    duckdb: str | None = None
 
     @property
     def needs(self) -> list[str]:
@@ -40,8 +42,8 @@ def base(name: str, duckdb: str) -> Callable:
     return keep
 
 
-def step(name: str, sql: str, public: bool = True) -> None:
-    STEPS[name] = Step(sql, public)
+def step(name: str, sql: str, public: bool = True, duckdb: str | None = None) -> None:
+    STEPS[name] = Step(sql, public, duckdb)
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -62,9 +64,10 @@ def duckdb_sql(name: str) -> str:
             return
         s = STEPS[n]
         if isinstance(s, Step):
-            for x in s.needs:
+            text = s.duckdb or s.sql
+            for x in _NAME.findall(text):
                 add(x)
-            text = _NAME.sub(r"\1", s.sql).replace("percentile(", "quantile_cont(").replace("raise_error(", "error(")
+            text = _NAME.sub(r"\1", text).replace("percentile(", "quantile_cont(").replace("raise_error(", "error(")
         else:
             text = s.duckdb
         done[n] = text

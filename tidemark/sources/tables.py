@@ -51,9 +51,21 @@ def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(33).select(F.col("id").alias("k"))
 
 
+@base("signals", "SELECT vec_id AS epoch, embedding AS x FROM embeddings")
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """epoch, x: every epoch as one array of doubles."""
+    return read(spark, sf_dir, "embeddings").where("embedding is not null").selectExpr("vec_id as epoch", "transform(embedding, v -> cast(v as double)) as x")
+
+
+@base("boot_numbers", "SELECT unnest(range(2000)) AS b")
+def boot_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws of the bootstrap."""
+    return spark.range(2000).select(F.col("id").alias("b"))
+
+
 @base("numbers", "SELECT unnest(range(100)) AS b")
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws of resampling and permutation tests."""
+    """Draws of the permutation tests."""
     return spark.range(100).select(F.col("id").alias("b"))
 
 
