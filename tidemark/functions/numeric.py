@@ -7,9 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.functions.riemann import tangent
 from tidemark.functions.signal import BANDS, band_filter, cwt_power, resample, wavelet_row
 
 
@@ -137,28 +135,11 @@ def signal_row(x: np.ndarray) -> dict[str, float | list[float]]:
     return {"alpha_power": float((alpha**2).mean()), "half_rate": resample(x, 1, 2).tolist(), "dwt_energy": energy, "dwt_entropy": entropy, "cwt_power": cwt_power(x, np.geomspace(1, 8, 8)).tolist()}
 
 
-def riemann_tangent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tangent vectors of the epochs' covariances at the arithmetic mean of all, which is one native aggregation."""
-    covs = _per_epoch(spark, sf_dir, lambda x: {"cov": oas(x.reshape(4, -1)).ravel().tolist()}, "epoch long, cov array<double>")
-    mean = [r.m for r in covs.select("epoch", F.posexplode("cov").alias("i", "c")).groupBy("i").agg(F.avg("c").alias("m")).orderBy("i").collect()]
-    at = np.array(mean).reshape(4, 4) if mean else np.eye(4)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                t = tangent(np.array(batch.column(1).to_pylist()).reshape(-1, 4, 4), at)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t.tolist(), pa.list_(pa.float64()))], names=["epoch", "tangent"])
-
-    return covs.mapInArrow(run, "epoch long, tangent array<double>")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "welch_psd": lambda s, d: _per_epoch(s, d, lambda x: {"psd": welch(x, 64, 32)[1].tolist()}, "epoch long, psd array<double>"),
         "complexity": lambda s, d: _per_epoch(s, d, complexity_row, "epoch long, perm_entropy double, sample_entropy double, higuchi double"),
         "connectivity": lambda s, d: _per_epoch(s, d, connectivity_row, "epoch long, coherence double, imaginary double, wpli double, aec double, plv double"),
-        "covariance_oas": lambda s, d: _per_epoch(s, d, lambda x: {"cov": oas(x.reshape(4, -1)).ravel().tolist()}, "epoch long, cov array<double>"),
         "signal_features": lambda s, d: _per_epoch(s, d, signal_row, "epoch long, alpha_power double, half_rate array<double>, dwt_energy array<double>, dwt_entropy array<double>, cwt_power array<double>"),
-        "riemann_tangent": riemann_tangent,
         "laplacian_embedding": lambda s, d: _per_epoch(s, d, lambda x: {"vectors": spectral_embedding(np.abs(np.corrcoef(x.reshape(4, -1))), 2).ravel().tolist()}, "epoch long, vectors array<double>"),
     }

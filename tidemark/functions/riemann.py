@@ -15,9 +15,8 @@ def mean(covs: np.ndarray, weights: np.ndarray | None = None, rounds: int = 50,
     w = np.full(len(covs), 1 / len(covs)) if weights is None else weights / weights.sum()
     m = np.einsum("n,nij->ij", w, covs)
     for _ in range(rounds):
-        root, inverse = _apply(m, np.sqrt), _apply(m, lambda x: 1 / np.sqrt(x))
-        step = np.einsum("n,nij->ij", w, _apply(inverse @ covs @ inverse, np.log))
-        m = root @ _expm(step) @ root
+        step = np.einsum("n,nij->ij", w, log_at(covs, m))
+        m = move(m, step)
         if np.linalg.norm(step) < tolerance:
             break
     return m
@@ -25,13 +24,24 @@ def mean(covs: np.ndarray, weights: np.ndarray | None = None, rounds: int = 50,
 
 def _expm(s: np.ndarray) -> np.ndarray:
     w, v = np.linalg.eigh(s)
-    return (v * np.exp(w)) @ v.T
+    return (v * np.exp(w)[..., None, :]) @ np.swapaxes(v, -1, -2)
+
+
+def log_at(covs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithms of the matrices as seen from that point."""
+    inverse = _apply(at, lambda x: 1 / np.sqrt(x))
+    return _apply(inverse @ covs @ inverse, np.log)
+
+
+def move(at: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The point a tangent step away."""
+    root = _apply(at, np.sqrt)
+    return root @ _expm(step) @ root
 
 
 def tangent(covs: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Upper triangles of the logarithms at that point, off-diagonal entries times sqrt 2."""
-    inverse = _apply(at, lambda x: 1 / np.sqrt(x))
-    s = _apply(inverse @ covs @ inverse, np.log)
+    s = log_at(covs, at)
     i, j = np.triu_indices(at.shape[0])
     return s[..., i, j] * np.where(i == j, 1, np.sqrt(2))
 

@@ -14,7 +14,7 @@ import tidemark.operators.stats
 import tidemark.operators.windows
 import tidemark.sources.tables  # noqa: F401
 from tidemark.functions import numeric
-from tidemark.operators import models
+from tidemark.operators import curved, models
 from tidemark.plans.portable import STEPS, Step, duckdb_sql, frame
 
 
@@ -24,7 +24,7 @@ def _public() -> list[str]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     steps = {n: (lambda spark, sf_dir, n=n: frame(spark, sf_dir, n)) for n in _public()}
-    return steps | numeric.queries() | models.queries()
+    return steps | numeric.queries() | curved.queries() | models.queries()
 
 
 def oracle_sql() -> dict[str, str]:
