@@ -13,7 +13,7 @@ from tidemark.sources import cache
 from tidemark.streaming.windows import hopping
 
 DIR = "/root/testdata/sf0.001"
-SAMPLE = ["windows_yield", "mad_reject", "yield_rollup", "average_reference", "bipolar_scale", "relative_power", "median_freq", "hjorth", "corr_edges", "folds_stratified", "leakage_check", "balanced_weights", "subject_geomean", "class_report", "auc_ovr", "per_repeat", "bootstrap_ci", "paired_diff", "permutation_p", "soft_vote", "perm_importance", "kruskal", "bh_fdr", "hedges_g", "top_trials", "feature_groups"]
+SAMPLE = ["windows_yield", "mad_reject", "yield_rollup", "average_reference", "bipolar_scale", "relative_power", "median_freq", "hjorth", "corr_edges", "folds_stratified", "leakage_check", "balanced_weights", "subject_geomean", "class_report", "auc_ovr", "per_repeat", "bootstrap_ci", "bootstrap_ci_epochs", "paired_diff", "permutation_p", "soft_vote", "perm_importance", "kruskal", "bh_fdr", "systematic_sample", "hedges_g", "top_trials", "feature_groups"]
 
 
 @pytest.fixture(scope="module")

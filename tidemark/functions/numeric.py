@@ -79,8 +79,8 @@ def phase_locking(x: np.ndarray) -> np.ndarray:
     return np.abs(u @ u.conj().T) / x.shape[-1]
 
 
-def coherence(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coherence, absolute imaginary coherency and weighted phase lag index, mean over bins; symmetric Hann segments."""
+def coherence_bins(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coherence, absolute imaginary coherency and weighted phase lag index (channel, channel, bin) of the bins above 0 Hz; symmetric Hann segments."""
     parts = np.lib.stride_tricks.sliding_window_view(x, size, axis=-1)[:, :: size // 2]
     f = np.fft.rfft((parts - parts.mean(axis=-1, keepdims=True)) * np.hanning(size))[..., 1:]
     cross = np.einsum("isf,jsf->ijsf", f, f.conj())
@@ -88,7 +88,12 @@ def coherence(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     power = np.real(np.einsum("iif->if", s))
     c = s / np.sqrt(power[:, None] * power[None] + 1e-30)
     im = np.imag(cross)
-    return (np.abs(c) ** 2).mean(axis=-1), np.abs(np.imag(c)).mean(axis=-1), (np.abs(im.sum(axis=2)) / (np.abs(im).sum(axis=2) + 1e-30)).mean(axis=-1)
+    return np.abs(c) ** 2, np.abs(np.imag(c)), np.abs(im.sum(axis=2)) / (np.abs(im).sum(axis=2) + 1e-30)
+
+
+def coherence(x: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """The same, mean over bins."""
+    return tuple(m.mean(axis=-1) for m in coherence_bins(x, size))
 
 
 def oas(x: np.ndarray) -> np.ndarray:

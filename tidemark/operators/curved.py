@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tidemark.operators.evaluate  # noqa: F401
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from tidemark.functions.numeric import oas
 from tidemark.functions.riemann import distance2, log_at, move, tangent
 from tidemark.functions.signal import BANDS, band_filter
 from tidemark.plans.portable import frame
+from tidemark.sources.tables import signals
 
 CHANNELS, RATE, FOLDS, CLASSES = 4, 64, 5, 3
 N_BANDS = len(BANDS) + 1
@@ -38,7 +40,7 @@ def covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
                 x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, CHANNELS, -1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), _rows(np.stack([band_covariances(v) for v in x]))], names=["epoch", "cov"])
 
-    return frame(spark, sf_dir, "signals").mapInArrow(run, "epoch long, cov array<double>")
+    return signals(spark, sf_dir).mapInArrow(run, "epoch long, cov array<double>")
 
 
 def _rows(x: np.ndarray) -> pa.Array:
