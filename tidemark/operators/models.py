@@ -46,7 +46,7 @@ def weighted(epochs: DataFrame) -> DataFrame:
 def cross_validate(epochs: DataFrame, folds: DataFrame, recipe: str = "lr") -> DataFrame:
     """fold, subject, label, epoch, prediction (and proba) of every epoch of (subject, label, epoch, x), each by the model of the other folds."""
     spec, out = RECIPES[recipe], []
-    data = weighted(epochs).join(F.broadcast(folds.select("subject", "fold")), "subject").withColumn("features", array_to_vector("x")).withColumn("label", F.col("label").cast("double")).cache()
+    data = weighted(epochs).join(folds.select("subject", "fold"), "subject").withColumn("features", array_to_vector("x")).withColumn("label", F.col("label").cast("double")).cache()
     for row in folds.select("fold").distinct().orderBy("fold").collect():  # folds are few by definition
         train, test = data.where(F.col("fold") != row.fold), data.where(F.col("fold") == row.fold)
         model = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), spec.make(train.count())]).fit(train)
