@@ -66,9 +66,9 @@ SELECT repeat, k, round(tp / nullif(support, 0) + 1e-9, 6) AS recall, round(tn /
        round(coalesce(2.0 * tp / nullif(tp + fp + support, 0), 0) + 1e-9, 6) AS f1 FROM {per_class}""")
 step("log_loss", "SELECT repeat, round(-avg(ln(greatest(least(p, 1), 1e-7))) + 1e-9, 6) AS log_loss FROM {subject_proba} WHERE y = k GROUP BY repeat")
 step("midranks", """
-SELECT repeat, k, y, rank() OVER (PARTITION BY repeat, k ORDER BY p) + (count(*) OVER (PARTITION BY repeat, k, p) - 1) / 2.0 AS r FROM {subject_proba}""", public=False)
+SELECT repeat, k, y, rank() OVER (PARTITION BY repeat, k ORDER BY p) + (count(*) OVER (PARTITION BY repeat, k, p) - 1) / 2e0 AS r FROM {subject_proba}""", public=False)
 step("auc", """
-SELECT repeat, k, (sum(CASE WHEN y = k THEN r ELSE 0 END) - sum(CASE WHEN y = k THEN 1 ELSE 0 END) * (sum(CASE WHEN y = k THEN 1 ELSE 0 END) + 1) / 2.0)
+SELECT repeat, k, (sum(CASE WHEN y = k THEN r ELSE 0 END) - sum(CASE WHEN y = k THEN 1 ELSE 0 END) * (sum(CASE WHEN y = k THEN 1 ELSE 0 END) + 1) / 2e0)
        / nullif(sum(CASE WHEN y = k THEN 1 ELSE 0 END) * sum(CASE WHEN y <> k THEN 1 ELSE 0 END), 0) AS auc FROM {midranks} GROUP BY repeat, k""", public=False, duckdb="""
 SELECT a.repeat, a.k, avg(CASE WHEN a.p > b.p THEN 1e0 WHEN a.p = b.p THEN 0.5e0 ELSE 0e0 END) AS auc FROM {subject_proba} a JOIN {subject_proba} b ON b.repeat = a.repeat AND b.k = a.k AND b.y <> b.k
 WHERE a.y = a.k GROUP BY a.repeat, a.k""")
