@@ -77,3 +77,37 @@ FROM v LEFT JOIN a USING (s)
 
 
 SQL["op2_quality_rules"] = _quality()
+
+_FINITE = "embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])"
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    """Each round's assignment packs distance and index into one number, so the least breaks ties by index."""
+    near = "SELECT r, p, min(d * 256 + entry) AS best FROM (SELECT l.r, l.p, c.entry, sum((l.v - c.v) * (l.v - c.v))::bigint AS d FROM long l JOIN cb{n} c ON c.p = l.p AND c.j = l.j GROUP BY l.r, l.p, c.entry) GROUP BY r, p"
+    steps = []
+    for n in range(rounds):
+        steps.append(f"a{n} AS MATERIALIZED ({near.format(n=n)})")
+        steps.append(f"""cb{n + 1} AS MATERIALIZED (SELECT c.p, c.entry, c.j, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, c.v) AS v FROM cb{n} c LEFT JOIN (
+  SELECT l.p, a.best % 256 AS entry, l.j, sum(l.v)::bigint AS s, count(*) AS n FROM long l JOIN a{n} a ON a.r = l.r AND a.p = l.p GROUP BY l.p, a.best % 256, l.j) m ON m.p = c.p AND m.entry = c.entry AND m.j = c.j)""")
+    return f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, [floor(1024 * x::double)::bigint FOR x IN embedding] AS v FROM embeddings WHERE {_FINITE}),
+long AS MATERIALIZED (SELECT r, vec_id, (i - 1) // (len(v) // 4) AS p, (i - 1) % (len(v) // 4) AS j, v[i] AS v FROM (SELECT r, vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM e)),
+cb0 AS MATERIALIZED (SELECT p, f.entry, j, v FROM long JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM e ORDER BY vec_id LIMIT 256) f USING (r)),
+{", ".join(steps)},
+z AS MATERIALIZED ({near.format(n=rounds)}),
+c AS (SELECT r, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::bigint AS error FROM z GROUP BY r),
+h AS (SELECT sha256(string_agg(v::varchar, ',' ORDER BY p, entry, j)) AS codebooks_sha256 FROM cb{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, codebooks_sha256 FROM e JOIN c USING (r) CROSS JOIN h
+"""
+
+
+SQL["op11_vector_codes"] = _vector_codes()
+
+SQL["op13_hard_negatives"] = f"""
+WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::double)::bigint FOR x IN embedding] AS v FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_sum([a.v[i] * b.v[i] FOR i IN range(1, len(a.v) + 1)])::bigint AS score FROM e a JOIN e b ON b.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS rn FROM s WHERE same) WHERE rn <= 5)
+SELECT anchor_id, positive_id, rn::integer AS rank, id AS negative_id, positive_score, score AS negative_score FROM (
+  SELECT p.*, s.id, s.score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS rn
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score) WHERE rn <= 10
+"""
