@@ -12,7 +12,7 @@ from tidemark.plans.portable import STEPS, frame
 from tidemark.sources import results
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["inner_scores", "select_best", "nested_predictions", "nested_score", "partition_check", "bag_splits", "task_subjects", "task_epochs", "first_label", "sample_80_20", "weighted_sample", "common_repeats", "paired_wins", "report_rows", "sorted_results", "mean_roc", "crop", "short_recordings", "rebased_marks", "boundary_margin", "unit_scale", "chunks", "latest_checkpoint", "band_powers", "soft_vote"]
+NAMES = ["inner_scores", "select_best", "nested_predictions", "nested_score", "partition_check", "bag_splits", "task_subjects", "task_epochs", "first_label", "sample_80_20", "weighted_sample", "fold_medians", "common_repeats", "paired_wins", "report_rows", "sorted_results", "mean_roc", "crop", "short_recordings", "rebased_marks", "boundary_margin", "unit_scale", "chunks", "latest_checkpoint", "band_powers", "soft_vote"]
 
 
 @pytest.fixture(scope="module")
@@ -159,3 +159,14 @@ def test_comparison_takes_common_repeats_and_refuses_other_subjects(spark):
 
 def test_every_new_step_is_registered():
     assert set(NAMES) <= set(catalog.queries()) and all(n in STEPS for n in NAMES)
+
+
+def test_weighted_sample_draws_from_all_subjects_and_epochs(spark):
+    """1,000 subjects of one class and 10 of another: each class gets half of the 32 draws a subject, and nearly every subject and epoch is drawn."""
+    subjects = spark.range(1010).selectExpr("id as subject", "if(id < 1000, 0, 1) as label")
+    epochs = subjects.selectExpr("subject", "label", "explode(sequence(0, 2)) as e").selectExpr("subject", "label", "subject * 3 + e as epoch")
+    got = frame(spark, DIR, "weighted_sample", {"subjects": subjects, "epochs3": epochs}).collect()
+    assert len(got) == len({r.draw for r in got}) == 32 * 1010 and all(r.epoch // 3 == r.subject for r in got)
+    large = Counter(r.subject for r in got if r.subject < 1000)
+    assert len(large) == 1000 and abs(sum(large.values()) / len(got) - 0.5) < 0.02 and max(large.values()) < 45
+    assert all(abs(n - sum(large.values()) / 3) < 300 for n in Counter(r.epoch % 3 for r in got if r.subject < 1000).values())

@@ -4,6 +4,8 @@ A candidate is the nearest-centroid model with one sharpness of its softmax; sha
 chosen on inner folds of the training subjects alone, by subject-level balanced accuracy, then macro AUC, then its number.
 """
 
+import re
+
 from tidemark.plans.portable import step
 
 step("candidates", "SELECT 0 AS candidate, 0e0 AS sharp UNION ALL SELECT 1, 0.05e0 UNION ALL SELECT 2, 0.2e0 UNION ALL SELECT 3, 1e0", public=False)
@@ -63,14 +65,17 @@ SELECT subject, CASE WHEN min(label) = max(label) THEN min(label) ELSE CAST(rais
 step("sample_80_20", """
 SELECT subject, CASE WHEN rn <= round(0.8 * n) THEN 'train' ELSE 'test' END AS role
 FROM (SELECT subject, row_number() OVER (ORDER BY md5(concat(CAST(subject AS string), '#42')), subject) AS rn, count(*) OVER () AS n FROM {subjects})""")
-# with replacement, a class, a subject of it and an epoch of that alike likely: the balanced weights, without a range join
-step("weighted_sample", """
-SELECT d.draw, s.subject, e.epoch FROM (SELECT draw, label, 1 + h1 % n AS pick, h2 FROM (
-    SELECT n.b * 32 + r.b AS draw, (n.b * 32 + r.b) % 3 AS label, ascii(substring(md5(concat('s', CAST(n.b * 32 + r.b AS string))), 2, 1)) * 8191 + ascii(substring(md5(concat('s', CAST(n.b * 32 + r.b AS string))), 9, 1)) * 127 AS h1,
-           ascii(substring(md5(concat('e', CAST(n.b * 32 + r.b AS string))), 3, 1)) * 8191 + ascii(substring(md5(concat('e', CAST(n.b * 32 + r.b AS string))), 7, 1)) * 127 AS h2
-    FROM {numbers} n JOIN {numbers} r ON r.b < 32 WHERE n.b < 24) q JOIN (SELECT label AS l, count(*) AS n FROM {subjects} GROUP BY label) c ON c.l = q.label) d
-JOIN (SELECT subject, label, row_number() OVER (PARTITION BY label ORDER BY subject) AS rn FROM {subjects}) s ON s.label = d.label AND s.rn = d.pick
-JOIN (SELECT subject, epoch, row_number() OVER (PARTITION BY subject ORDER BY epoch) AS rn, count(*) OVER (PARTITION BY subject) AS n FROM {epochs3}) e ON e.subject = s.subject AND e.rn = 1 + d.h2 % e.n""")
+# with replacement, 32 draws for each subject: classes in turn, then a subject of the class and an epoch of that alike likely, which are the
+# balanced weights without a range join. A pick is the first 32 bits of an md5, modulo what there is to pick from.
+_WEIGHTED = """
+SELECT d.draw, s.subject, e.epoch FROM (SELECT q.draw, c.label, 1 + BITS[concat('s', CAST(q.draw AS string))] % c.n AS pick, BITS[concat('e', CAST(q.draw AS string))] AS h
+  FROM (SELECT t.subject * 32 + r.b AS draw, 1 + (t.subject * 32 + r.b) % k.n AS class FROM {subjects} t JOIN {numbers} r ON r.b < 32 JOIN (SELECT count(DISTINCT label) AS n FROM {subjects}) k ON k.n > 0) q
+  JOIN (SELECT label, n, row_number() OVER (ORDER BY label) AS class FROM (SELECT label, count(*) AS n FROM {subjects} GROUP BY label)) c ON c.class = q.class) d
+JOIN {ranked_subjects} s ON s.label = d.label AND s.rn = d.pick
+JOIN (SELECT subject, epoch, row_number() OVER (PARTITION BY subject ORDER BY epoch) AS rn, count(*) OVER (PARTITION BY subject) AS n FROM {epochs3}) e ON e.subject = s.subject AND e.rn = 1 + d.h % e.n"""
+step("weighted_sample", re.sub(r"BITS\[(.*?\))\]", r"CAST(conv(substring(md5(\1), 1, 8), 16, 10) AS bigint)", _WEIGHTED), duckdb=re.sub(r"BITS\[(.*?\))\]", r"CAST(concat('0x', substring(md5(\1), 1, 8)) AS bigint)", _WEIGHTED))
+step("train_medians", """
+SELECT r.repeat, CAST(r.fold AS bigint) AS fold, CAST(c.j AS bigint) AS j, round(percentile(c.v, 0.5), 9) AS median FROM {cells3} c JOIN {roles} r ON r.subject = c.subject WHERE r.role = 'train' GROUP BY r.repeat, r.fold, c.j""", public=False)
 step("common_repeats", "SELECT v.repeat, count(*) AS n FROM {verdicts} v JOIN (SELECT DISTINCT repeat FROM {verdicts} INTERSECT SELECT DISTINCT repeat FROM {prior_verdicts} WHERE repeat > 0) r ON r.repeat = v.repeat GROUP BY v.repeat")
 step("paired_wins", """
 SELECT CAST(sum(CASE WHEN d > 1e-12 THEN 1 ELSE 0 END) AS bigint) AS wins, CAST(sum(CASE WHEN abs(d) <= 1e-12 THEN 1 ELSE 0 END) AS bigint) AS ties, count(*) AS n, round(avg(d), 6) AS delta,
