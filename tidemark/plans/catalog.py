@@ -13,7 +13,7 @@ import tidemark.operators.recording
 import tidemark.operators.stats
 import tidemark.operators.windows
 import tidemark.sources.tables  # noqa: F401
-from tidemark.functions import aperiodic, extract, numeric
+from tidemark.functions import aperiodic, continuous, extract, numeric
 from tidemark.operators import curved, models, nested
 from tidemark.plans.portable import STEPS, Step, duckdb_sql, frame
 
@@ -24,7 +24,7 @@ def _public() -> list[str]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     steps = {n: (lambda spark, sf_dir, n=n: frame(spark, sf_dir, n)) for n in _public()}
-    return steps | numeric.queries() | extract.queries() | aperiodic.queries() | curved.queries() | models.queries() | nested.queries()
+    return steps | numeric.queries() | extract.queries() | aperiodic.queries() | continuous.queries() | curved.queries() | models.queries() | nested.queries()
 
 
 def oracle_sql() -> dict[str, str]:
