@@ -27,6 +27,12 @@ CASES = {
     "markup in attribute": (f"""<article><p data-x='<b class="y">z</b>' title="a > b">{P}</p></article>""", P),
     "definitions": (f"<article><p>{P}</p><dl><dt>one<dd>first<dt>two<dd>second</dl></article>", f"{P}\none\nfirst\ntwo\nsecond"),
     "nested lists": (f"<article><p>{P}</p><ul><li>a<ul><li>b<li>c</ul><li>d</ul></article>", f"{P}\na\nb\nc\nd"),
+    "wrappers": (f"<body><div><div><p>{P}1<p>{P}2</div></div><div><div><p>{P}3<p>{P}4</div></div></body>", f"{P}1\n{P}2\n{P}3\n{P}4"),
+    "sections": (f'<body><nav>{MENU}</nav><section><div><h2>One</h2><p>{P}</div></section><section><div><h2>Two</h2><p>{P}<p>{P}</div></section><section><div><h2>Three</h2><p>{P}</div></section><div class="sidebar"><div><p>{P}</div></div></body>', f"One\n{P}\nTwo\n{P}\n{P}\nThree\n{P}"),
+    "short blocks between": (f'<div id="c"><div><p>{P}</p><p>{P}</p></div><h2>Next</h2><div>Short.</div><div>{P} Z</div></div>', f"{P}\n{P}\nNext\nShort.\n{P} Z"),
+    "wrappers round a menu": (f"<body><div><div><p>{P}<p>{P}</div></div>{MENU}<div><div><p>{P}</div></div><div>(c)</div></body>", f"{P}\n{P}\n{P}"),
+    "names in an article": (f'<article><p>{P}</p><p class="comment-on-law">{P}</p><div class="comments-list-box"><p>{P}</p></div><p class="advert">{P}</p></article>', f"{P}\n{P}"),
+    "text beside wrappers": (f"<body><div>{P} <div><p>{P}<p>{P}</div></div></body>", f"{P}\n{P}\n{P}"),
     "attribute": (f'<article><p title="a > b">{P}</p></article>', P),
 }
 
@@ -57,6 +63,9 @@ def test_rows(spark):
         "<a href='" * 100_000,
         "<form>" * 80_000 + f"<p>{P}</p>" + "</p>" * 100_000,
         f"<article><p>{P}</p>" + "<li><i>" * 60_000 + "</ul>" * 60_000,
+        f"<div><p>{P}</p></div>" * 12_000,
+        "<div>" * 40_000 + f"<div><p>{P}</p></div>" * 4_000,
+        ("<div>" * 20_000 + f"<p>{P}</p>" * 3 + "</div>" * 20_000) * 4,
     ],
 )
 def test_a_megabyte_of_broken_markup_takes_linear_time(html):

@@ -43,12 +43,12 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("anchors", "commas", "dropped", "inside", "kids", "links", "para", "parent", "score", "size", "tag", "words")
+    __slots__ = ("anchors", "commas", "direct", "dropped", "inside", "kids", "links", "para", "parent", "score", "size", "tag", "words")
 
     def __init__(self, tag: str, parent: Node | None, words: frozenset[str], dropped: bool) -> None:
         self.tag, self.parent, self.words, self.dropped = tag, parent, words, dropped
         self.kids: list[Node | str] = []
-        self.score = 0.0
+        self.score = self.direct = 0.0
         self.size = self.links = self.commas = self.anchors = 0
         # whether an article is open here, and which paragraph is
         self.inside: bool = tag in ("article", "main") or parent is not None and parent.inside
@@ -155,7 +155,10 @@ def parse(html: str) -> Node:
         node = open_.top
         words, hidden = _names(attrs)
         off = tag in DROPPED or hidden or (tag == "header" and not node.inside) or (tag not in ("html", "body", "article", "main") and bool(words & AWAY) and not (words & STAY and not words & {"ad", "ads", "comment", "comments", "sidebar", "footer", "nav", "menu", "related", "cookie"}))
-        unsure = not off and tag not in ("html", "body", "article", "main") and bool(words & DOUBTFUL) and not words & STAY
+        # a paragraph of an article whose long name merely holds such a word is judged as prose
+        named = off and not hidden and node.inside and tag in ("p", "blockquote", "h2", "h3", "h4") and len(words) > 2
+        off = off and not named
+        unsure = named or not off and tag not in ("html", "body", "article", "main") and bool(words & DOUBTFUL) and not words & STAY
         new = Node(tag, node, words, off or unsure)
         if unsure:
             doubtful.append(new)
@@ -266,6 +269,7 @@ def choose(root: Node) -> list[Node]:
                 bonus = {"article": 10, "main": 8, "section": 1, "pre": 3, "blockquote": 1}.get(up.tag, 0)
                 up.score += 1e-9 + bonus + (5 if up.words & STAY else 0)
             up.score += points / (1, 2, 6, 9, 12)[level]
+            up.direct += points * (level == 0)
             up, level = up.parent, level + 1
     scored = [x for x in scored if x.tag not in ("tr", "ul", "ol", "dl")]
     if not scored:
@@ -277,6 +281,8 @@ def choose(root: Node) -> list[Node]:
             break
     while best.parent is not None and best.tag in ("p", "li", "td", "h2", "h3", "h4", "tbody", "table"):
         best = best.parent
+    if best.tag not in ("article", "main") and (parts := _parts(best, order)):
+        return parts
     if best.parent is None:
         return [best]
     kept = []
@@ -290,6 +296,31 @@ def choose(root: Node) -> list[Node]:
     return kept
 
 
+def _parts(best: Node, order: list[Node]) -> list[Node]:
+    """An article without an element of its own may be spread over wrappers: the children of the smallest element that holds all containers
+    with a fifth of the points that paragraphs pass directly to the best of them, from the first to the last of these, and texts beside
+    them. Nothing if they all lie in the best container."""
+    least = 0.2 * max(x.direct * (1 - density(x)) for x in _walk(best))
+    if least <= 0:
+        return []
+    # containers below each element, in one pass
+    held: dict[int, int] = {}
+    for x in reversed(order):
+        n = int(x is best or x.direct * (1 - density(x)) >= least and density(x) < 0.5) + sum(held.get(id(k), 0) for k in x.kids if not isinstance(k, str))
+        if n:
+            held[id(x)] = n
+    top, whole = order[0], held[id(order[0])]
+    if held[id(best)] == whole:
+        return []
+    while inner := [k for k in top.kids if not isinstance(k, str) and held.get(id(k)) == whole]:
+        top = inner[0]
+    if top.direct * (1 - density(top)) >= least:  # it has text of its own
+        return [top]
+    kids = [k for k in top.kids if not isinstance(k, str) and not k.dropped]
+    at = [i for i, k in enumerate(kids) if id(k) in held]
+    return [k for i, k in enumerate(kids) if at[0] <= i <= at[-1] or k.tag in TEXTUAL and k.size and density(k) < 0.33]
+
+
 def _is_menu(x: Node) -> bool:
     """A block of short links outside articles. Lists of references within an article are text."""
     return not x.inside and x.tag in ("ul", "ol", "div", "section", "dl", "table") and density(x) > 0.6 and x.anchors > 1 and x.links < 40 * x.anchors
