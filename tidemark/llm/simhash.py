@@ -511,15 +511,17 @@ def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: float =
     """The documents, all columns, one of each group of exact or near copies: the one of least doc_id (null last)."""
     names = docs.columns
     keyed = materialize(docs.withColumn("_sh_row", F.monotonically_increasing_id()))
-    ids = keyed.select("_sh_row", F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
-    # exact copies: the least (doc_id, row) stands for its text
+    ids = keyed.select("_sh_row", F.col("doc_id").cast("long").alias("_d"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("_t"))
+    # exact copies, told by 128 bits: the least (doc_id, row) stands for its text
     order = F.struct(F.col("_d").isNull(), "_d", "_sh_row")
     firsts = materialize(ids.groupBy("_t").agg(F.min(order).alias("o")).select(F.col("o._sh_row").alias("node"), F.col("o._d").alias("d")))
     texts = keyed.select(F.col("_sh_row").alias("node"), F.col("text").cast("string").alias("text"))
     label = components(similar_links(texts, n, similarity, only=firsts.select("node")))
     named = firsts.join(label, "node", "left").select("node", "d", F.coalesce("label", "node").alias("label"))
     stay = named.groupBy("label").agg(F.min(F.struct(F.col("d").isNull(), "d", "node")).alias("o")).select(F.col("o.node").alias("_sh_row"))
-    return keyed.join(materialize(stay).hint("merge"), "_sh_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    stay = materialize(stay)
+    discard(firsts, label)
+    return keyed.join(stay.hint("merge"), "_sh_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
 
 
 def hex_of(fp: str = "fp"):
