@@ -69,9 +69,9 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(100).select(F.col("id").alias("b"))
 
 
-@base("repeats", "SELECT unnest(range(3)) AS repeat")
+@base("repeats", "SELECT unnest(range(10)) AS repeat")
 def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(3).select(F.col("id").alias("repeat"))
+    return spark.range(10).select(F.col("id").alias("repeat"))
 
 
 @base("props", "SELECT event_id, user_id, event_type, value, json_extract_string(props, '$.k')::bigint AS k FROM events")
