@@ -34,7 +34,7 @@ def test_importance_over_all_splits_and_draws(spark):
     label = {int(s): int(s) // 8 for s in set(subject.tolist())}
     y = subject // 8
     drops = {g: [] for g in range(4)}
-    for r in range(3):
+    for r in range(10):
         fold = {s: i % 5 for k in (0, 1, 2) for i, s in enumerate(sorted((s for s in label if label[s] == k), key=lambda s: (md5(f"{s}#{42 + 1000 * r}"), s)))}
         f = np.array([fold[s] for s in subject])
         for k in range(5):
