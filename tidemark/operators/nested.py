@@ -3,7 +3,7 @@ fitted on all of them and predicts the outer fold's subjects.
 
 All (split, candidate) models of a family are fitted together (training.minimise): rounds do not multiply with splits, and no task holds a
 split's rows. Families: L2 logistic regression (free intercept), linear SVM (squared hinge, one against the rest, penalised intercept,
-softmax of margins), RBF SVM (the same loss over a Nystroem map of landmarks drawn from the split's training rows, free intercept; with
+softmax of margins), leaf-wise boosted trees (boosted.py), RBF SVM (the same loss over a Nystroem map of landmarks drawn from the split's training rows, free intercept; with
 all training rows as landmarks it is the kernel machine itself) and the class prior. Features are filled with training medians and scaled
 by training mean and population deviation; weights let the subjects of a class and the classes count alike.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -30,7 +30,8 @@ import tidemark.sources.tables  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.training import Block, Moments, Rows, Split, medians, minimise, moments, packed, unpacked
+from tidemark.operators import boosted
+from tidemark.operators.training import Block, Moments, Rows, Split, landmarks, medians, minimise, moments, packed, unpacked
 from tidemark.plans.portable import duckdb_sql, frame
 from tidemark.sources.cache import exists, key_of, remaining
 
@@ -39,7 +40,10 @@ EPS = 1e-7
 
 @dataclass(frozen=True)
 class Family:
-    """loss: softmax, hinge2 or prior. landmarks: 0 for a linear model. cap: training rows a subject, 0 for all."""
+    """loss: softmax, hinge2, trees or prior. landmarks: 0 for a linear model. cap: training rows a subject, 0 for all.
+
+    Of trees the grid is the number of leaves, and shapes are (trees, rate) at each place of it; growth holds for all.
+    """
 
     name: str
     loss: str
@@ -47,15 +51,20 @@ class Family:
     free_intercept: bool = True
     landmarks: int = 0
     cap: int = 0
+    shapes: tuple[tuple[int, float], ...] = ()
+    growth: boosted.Growth = boosted.Growth()
 
 
-#: Fixed grids of the penalty parameter C.
+#: Fixed grids of the penalty parameter C; of trees: leaves, trees and rate.
 FAMILIES = {
     "prior": Family("prior", "prior"),
     "lr": Family("lr", "softmax", (1e-4, 1e-3, 1e-2, 1e-1, 1.0)),
     "linsvm": Family("linsvm", "hinge2", (1e-5, 1e-4, 1e-3, 1e-2), free_intercept=False),
     "rbfsvm": Family("rbfsvm", "hinge2", (0.1, 1.0, 10.0), landmarks=64, cap=40),
+    "gbt": Family("gbt", "trees", (7, 15), shapes=((200, 0.05), (400, 0.03))),
 }
+#: For the given tables, which hold some hundred epochs: fewer trees at a higher rate, smaller leaves.
+SHORT_GBT = replace(FAMILIES["gbt"], shapes=((10, 0.2), (20, 0.1)), growth=boosted.Growth(least=8))
 
 
 @dataclass(frozen=True)
@@ -103,27 +112,11 @@ def kernel(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum(d, 0))
 
 
-def landmarks(rows: Rows, splits: Sequence[Split], width: int, most: int, cap: int) -> list[np.ndarray]:
-    """For each split the raw features of at most so many training rows, those of least hash of the epoch: alike on every partitioning."""
-
-    def add(into: list, b: Block) -> list:
-        for s, split in enumerate(splits):
-            own = np.flatnonzero(b.training(split, cap))
-            into[s] = least(into[s], (b.hash[own], b.epoch[own], b.x[own]))
-        return into
-
-    def least(a: tuple, b: tuple) -> tuple:
-        joined = [np.concatenate(v) for v in zip(a, b, strict=True)]
-        order = np.lexsort((joined[1], joined[0]))[:most]
-        return tuple(v[order] for v in joined)
-
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width)))
-    found = rows.rdd.treeAggregate([empty] * len(splits), add, lambda a, b: [least(x, y) for x, y in zip(a, b, strict=True)], depth=2)
-    return [x for _, _, x in found]
-
-
-def fit(rows: Rows, family: Family, splits: Sequence[Split], candidates: Sequence[Sequence[int]], width: int, classes: int, tolerance: float = 1e-5) -> Fitted:
+def fit(rows: Rows, family: Family, splits: Sequence[Split], candidates: Sequence[Sequence[int]], width: int, classes: int, tolerance: float = 1e-5) -> Fitted | boosted.Forest:
     """The family's models on each split, of the grid places named for that split (the same number for each)."""
+    if family.loss == "trees":
+        grid = [(int(leaves), *shape) for leaves, shape in zip(family.grid, family.shapes, strict=True)]
+        return boosted.fit(rows, grid, splits, candidates, width, classes, family.cap, family.growth)
     splits = list(splits)
     m = moments(rows, splits, width, classes, family.cap)
     marks = roots = gamma = None
@@ -200,7 +193,7 @@ def _hinge2(score: np.ndarray, y: np.ndarray, present: np.ndarray) -> tuple[np.n
 LOSSES = {"softmax": _softmax, "hinge2": _hinge2}
 
 
-def predicted(blocks: DataFrame, repeats: int, fitted: Fitted, number: int) -> DataFrame:
+def predicted(blocks: DataFrame, repeats: int, fitted: Fitted | boosted.Forest, number: int) -> DataFrame:
     """repeat, fold, candidate, subject, y, epoch, logs (ln of the clipped probability, a class each) of the rows that each split tests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +261,7 @@ def evaluate(spark: SparkSession, epochs: DataFrame, folds: DataFrame, inner: Da
                 own = [x for x in told if (x.repeat, x.fold) == (r, f) and x.candidate in group]
                 best = max(own, key=lambda x: (x.balanced_accuracy, x.macro_auc if x.macro_auc is not None else -1.0, -x.candidate))
                 kind = max(i for i in range(len(families)) if first[i] <= best.candidate)
-                chosen.append((r, f, member, best.candidate, families[kind].name, families[kind].grid[best.candidate - first[kind]], best.balanced_accuracy, best.macro_auc))
+                chosen.append((r, f, member, best.candidate, families[kind].name, float(families[kind].grid[best.candidate - first[kind]]), best.balanced_accuracy, best.macro_auc))
         out = []
         for member in range(len(groups)):
             for i, family in enumerate(families):
@@ -326,9 +319,12 @@ def task(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
     return epochs, frame(spark, sf_dir, "folds").select("repeat", "fold", "subject"), frame(spark, sf_dir, "inner_folds").select("repeat", "fold", "subject", "part")
 
 
-def _query(names: Sequence[str], combine: str = "select") -> Callable[[SparkSession, str], DataFrame]:
+def _query(families: Sequence[Family], combine: str = "select", repeats: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _, got = evaluate(spark, *task(spark, sf_dir), [FAMILIES[n] for n in names], combine)
+        epochs, folds, inner = task(spark, sf_dir)
+        # repeats x folds rows
+        only = [(r.repeat, r.fold) for r in folds.where(F.col("repeat") < repeats).select("repeat", "fold").distinct().collect()] if repeats else None
+        _, got = evaluate(spark, epochs, folds, inner, families, combine, only)
         return subject_rows(got)
 
     return run
@@ -352,4 +348,4 @@ def oracle_sql() -> dict[str, str]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """repeat, fold, candidate, subject, y, k, p, n of the outer test subjects."""
-    return {"fold_medians": fold_medians, "nested_lr": _query(["lr"]), "nested_linsvm": _query(["linsvm"]), "nested_rbfsvm": _query(["rbfsvm"]), "nested_select_families": _query(["prior", "lr", "linsvm"]), "nested_vote": _query(["lr", "linsvm"], "vote")}
+    return {"fold_medians": fold_medians, "nested_lr": _query([FAMILIES["lr"]]), "nested_linsvm": _query([FAMILIES["linsvm"]]), "nested_rbfsvm": _query([FAMILIES["rbfsvm"]]), "nested_gbt": _query([SHORT_GBT], repeats=1), "nested_select_families": _query([FAMILIES[f] for f in ("prior", "lr", "linsvm")]), "nested_vote": _query([FAMILIES[f] for f in ("lr", "linsvm")], "vote")}
