@@ -59,5 +59,20 @@ def test_a_written_ledger_scans_a_blob_and_a_version_once(spark, tmp_path):
     assert [text[r.start : r.end] for k, r in sorted(found.items())] == ["0123456789abcdef0123456789abcdef"] * 2
 
 
+def test_no_text_of_a_seen_blob_is_moved(spark):
+    docs = spark.createDataFrame([(i, f"text {i} token=abcdef{i}") for i in range(3000)] + [(5000, None)], "doc_id long, text string")
+    scanned, _ = s.update(docs)
+    again, found = s.update(docs, scanned)
+    assert again.count() == 0 and found.count() == 0 and s.sifted(docs, again).count() == 0
+    some = s.address(docs.where("doc_id % 7 = 0 or text is null")).select("blob")
+    got = {r.doc_id for r in s.sifted(docs, some).collect()}
+    want = {i for i in range(3000) if i % 7 == 0} | {5000}
+    assert want <= got and len(got) < len(want) + 10
+    plan = s.sifted(docs, some)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    scanned, more = s.update(docs.union(spark.createDataFrame([(6000, "secret: qwertyuiop"), (6001, "secret: qwertyuiop")], docs.schema)), scanned)
+    assert scanned.count() == 3 and [(r.rule, r.start, r.end) for r in more.collect()] == [("assign", 0, 18)]
+
+
 def test_empty(spark):
     assert s.digest(s.scan_documents(spark.createDataFrame([], "doc_id long, text string"))).count() == 0

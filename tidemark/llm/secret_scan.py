@@ -45,6 +45,8 @@ RULES = (
 )
 FINDING = "blob string, rule string, version int, start bigint, end bigint"
 SCANNED = "blob string, rule string, version int"
+#: Bits by which rows of unseen blobs are told, at least 15.
+SIFT_BITS = 26
 
 
 def address(docs: DataFrame) -> DataFrame:
@@ -85,18 +87,35 @@ def scan(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 def update(docs: DataFrame, scanned: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
     """Scan what the ledger lacks. Returns (scanned, findings) of the run alone, to be appended to the ledger.
 
+    With a ledger, the pairs it lacks are found from the blobs' names; only texts of blobs that lack a rule are shuffled (sifted).
+
     scanned: blob, rule, version. findings: blob, rule, version, start, end; written in the shared folder.
     """
-    # a map-side first per blob: copies meet before the shuffle
-    blobs = address(docs).groupBy("blob").agg(F.first("text").alias("text"))
+    none = F.array().cast(T.ArrayType(T.StringType()))
+    wanted = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
+    pairs = address(docs).select("blob").distinct().select("blob", F.explode(wanted).alias("r")).select("blob", "r.*")
     if scanned is None:
-        blobs = blobs.withColumn("seen", F.array().cast(T.ArrayType(T.StringType())))
-    else:
-        tags = scanned.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("seen"))
-        blobs = blobs.join(tags, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast(T.ArrayType(T.StringType()))))
-    new = materialize(scan(blobs, rules))
-    pairs = address(docs).select("blob").distinct().withColumn("r", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules]))).select("blob", "r.*")
-    return (pairs if scanned is None else pairs.join(scanned, ["blob", "rule", "version"], "left_anti")), new
+        # a map-side first per blob: copies meet before the shuffle
+        return pairs, materialize(scan(address(docs).groupBy("blob").agg(F.first("text").alias("text")).withColumn("seen", none), rules))
+    pairs = materialize(pairs.join(scanned, ["blob", "rule", "version"], "left_anti"))
+    lacking = pairs.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("lacks"))
+    texts = sifted(docs, lacking).groupBy("blob").agg(F.first("text").alias("text"))
+    seen = F.filter(F.array(*[F.lit(r.tag) for r in rules]), lambda tag: ~F.array_contains("lacks", tag))
+    new = materialize(scan(texts.join(lacking, "blob").select("blob", "text", seen.alias("seen")), rules))
+    return pairs, new
+
+
+def sifted(docs: DataFrame, blobs: DataFrame) -> DataFrame:
+    """doc_id, blob, text of all rows of the blobs and of few others, without moving a text: the rows whose blob's bit is set.
+
+    The bits are a table of at most 2**SIFT_BITS / 32768 rows of 4096 bytes, 8 MB in all whatever the number of blobs; it is broadcast.
+    A blob has its bit by its hash, so none is missed; n blobs let through n / 2**SIFT_BITS of the others, which a join then drops.
+    """
+    bit = F.pmod(F.xxhash64("blob"), F.lit(1 << SIFT_BITS)) + 1
+    bits = blobs.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    rows = address(docs).withColumn("bucket", F.bitmap_bucket_number(bit)).withColumn("at", F.bitmap_bit_position(bit))
+    is_set = F.expr("(cast(conv(hex(substring(bits, cast(at div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(at % 8 as int))) <> 0")
+    return rows.join(F.broadcast(bits), "bucket").where(is_set).select("doc_id", "blob", "text")
 
 
 def join_paths(docs: DataFrame, findings: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -132,7 +151,7 @@ class Ledger:
         pairs, new = update(docs, self.scanned(), rules)
         new.write.mode("append").parquet(f"{self.path}/findings")
         pairs.write.mode("append").parquet(f"{self.path}/scanned")
-        discard(new)
+        discard(new, pairs)
         return join_paths(docs, self.findings(), rules)
 
 
