@@ -102,11 +102,15 @@ SELECT round(percentile(bal, 0.025) + 1e-9, 6) AS lo, round(percentile(bal, 0.97
   SELECT d.b, h.repeat, h.y, sum(h.hits * d.mult) * 1e0 / sum(h.n * d.mult) AS rec FROM {draws} d JOIN {epoch_hits} h ON h.subject = d.subject GROUP BY d.b, h.repeat, h.y) GROUP BY b)""")
 step("prior_verdicts", "SELECT v.repeat, v.subject, v.y, m.label AS pred FROM {verdicts} v JOIN (SELECT label FROM (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) AS rn FROM {epochs3} GROUP BY label) WHERE rn = 1) m ON v.y >= 0", public=False)
 step("prior_dummy", "SELECT label, round(count(*) / sum(count(*)) OVER () + 1e-9, 6) AS p FROM {epochs3} GROUP BY label")
+# both models' verdicts side by side; a subject that one of them lacks, or labels otherwise, is an error
+step("paired_verdicts", """
+SELECT coalesce(a.repeat, p.repeat) AS repeat, coalesce(a.subject, p.subject) AS subject, a.y, CASE WHEN a.y IS NULL OR p.y IS NULL OR a.y <> p.y THEN raise_error('the models differ in their subjects or labels') ELSE a.pred END AS pred_a, p.pred AS pred_b
+FROM {verdicts} a FULL JOIN {prior_verdicts} p ON p.repeat = a.repeat AND p.subject = a.subject""", public=False)
 step("paired_diff", """
 SELECT round(avg(d) + 1e-9, 6) AS delta, round(percentile(d, 0.025) + 1e-9, 6) AS lo, round(percentile(d, 0.975) + 1e-9, 6) AS hi, round(avg(CASE WHEN d <= 0 THEN 1e0 ELSE 0e0 END) + 1e-9, 6) AS p_not_better
 FROM (SELECT b, avg(ra - rb) AS d FROM (
-  SELECT d.b, a.repeat, a.y, sum(CASE WHEN a.pred = a.y THEN d.mult ELSE 0 END) / sum(d.mult) AS ra, sum(CASE WHEN p.pred = a.y THEN d.mult ELSE 0 END) / sum(d.mult) AS rb
-  FROM {draws} d JOIN {verdicts} a ON a.subject = d.subject JOIN {prior_verdicts} p ON p.subject = a.subject AND p.repeat = a.repeat GROUP BY d.b, a.repeat, a.y) GROUP BY b)""")
+  SELECT d.b, a.repeat, a.y, sum(CASE WHEN a.pred_a = a.y THEN d.mult ELSE 0 END) / sum(d.mult) AS ra, sum(CASE WHEN a.pred_b = a.y THEN d.mult ELSE 0 END) / sum(d.mult) AS rb
+  FROM {draws} d JOIN {paired_verdicts} a ON a.subject = d.subject GROUP BY d.b, a.repeat, a.y) GROUP BY b)""")
 step("permuted", """
 SELECT a.b, a.subject, c.label FROM (SELECT n.b, s.subject, row_number() OVER (PARTITION BY n.b ORDER BY s.subject) AS rn FROM {subjects} s JOIN {numbers} n ON n.b >= 0) a
 JOIN (SELECT n.b, s.label, row_number() OVER (PARTITION BY n.b ORDER BY md5(concat(CAST(s.subject AS string), '#', CAST(n.b AS string)))) AS rn FROM {subjects} s JOIN {numbers} n ON n.b >= 0) c ON a.b = c.b AND a.rn = c.rn""", public=False)

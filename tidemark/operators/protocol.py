@@ -80,8 +80,8 @@ step("common_repeats", "SELECT v.repeat, count(*) AS n FROM {verdicts} v JOIN (S
 step("paired_wins", """
 SELECT CAST(sum(CASE WHEN d > 1e-12 THEN 1 ELSE 0 END) AS bigint) AS wins, CAST(sum(CASE WHEN abs(d) <= 1e-12 THEN 1 ELSE 0 END) AS bigint) AS ties, count(*) AS n, round(avg(d), 6) AS delta,
        CASE WHEN max(v.lo) > 0 THEN 'better' WHEN max(v.hi) < 0 THEN 'worse' ELSE 'not distinguishable' END AS verdict
-FROM (SELECT repeat, avg(ra) - avg(rb) AS d FROM (SELECT a.repeat, a.y, avg(CASE WHEN a.pred = a.y THEN 1e0 ELSE 0e0 END) AS ra, avg(CASE WHEN p.pred = p.y THEN 1e0 ELSE 0e0 END) AS rb
-      FROM {verdicts} a JOIN {prior_verdicts} p ON p.repeat = a.repeat AND p.subject = a.subject GROUP BY a.repeat, a.y) GROUP BY repeat) JOIN {paired_diff} v ON v.p_not_better >= 0""")
+FROM (SELECT repeat, avg(ra) - avg(rb) AS d FROM (SELECT a.repeat, a.y, avg(CASE WHEN a.pred_a = a.y THEN 1e0 ELSE 0e0 END) AS ra, avg(CASE WHEN a.pred_b = a.y THEN 1e0 ELSE 0e0 END) AS rb
+      FROM {paired_verdicts} a GROUP BY a.repeat, a.y) GROUP BY repeat) JOIN {paired_diff} v ON v.p_not_better >= 0""")
 step("report_rows", """
 SELECT 'centroid' AS model, printf('%.1f ± %.1f [%.1f, %.1f]', 100 * m.mean, 100 * m.sd, 100 * c.lo, 100 * c.hi) AS balanced_accuracy FROM {mean_sd} m JOIN {bootstrap_ci} c ON c.hi >= c.lo""")
 step("sorted_results", "SELECT repeat, balanced_accuracy, CAST(row_number() OVER (ORDER BY balanced_accuracy DESC, repeat) AS bigint) AS place FROM {per_repeat}")
