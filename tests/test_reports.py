@@ -13,7 +13,7 @@ DIR = "/root/testdata/sf0.001"
 SCHEMA = "repeat long, fold long, subject long, y long, k long, p double"
 
 
-@pytest.mark.parametrize("name", ["class_bundle", "metric_bundle", "roc_bands", "roc_mean_auc", "paired_diff", "paired_wins"])
+@pytest.mark.parametrize("name", ["class_bundle", "metric_bundle", "roc_bands", "roc_mean_auc", "paired_diff", "paired_wins", "feature_inputs"])
 def test_equals_duckdb(spark, name):
     con = duckdb.connect()
     for p in Path(DIR).glob("*.parquet"):
