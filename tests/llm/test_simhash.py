@@ -218,3 +218,32 @@ def test_sifting_pairs_of_sketches_of_several_widths():
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs]), pa.array([j for _, j in pairs]), pa.array([True] * 25), pa.array([rows[i] for i, _ in pairs], pa.binary()), pa.array([rows[j] for _, j in pairs], pa.binary())], names=names)
     got = {(r["a"], r["b"]) for out in s._sifted(0.8)([batch.slice(0, 0), batch]) for r in out.to_pylist()}
     assert got == {(i, j) for i, j in pairs if i == j or {i, j} in ({0, 1}, {3, 4})}
+
+
+def test_unlike_texts_that_share_a_rare_shingle_are_not_written_as_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    shared = [" ".join(f"s{i}x{j}" for j in range(5)) for i in range(15)]
+    texts = [" ".join([*shared, *(f"n{rng.randrange(10**6)}" for _ in range(200))]) for _ in range(50)]
+    texts += [t + " end" for t in texts[:5]]
+    rows, write = [], s.materialize
+
+    def counted(df):
+        out = write(df)
+        rows.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(s, "materialize", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    got = groups_of(range(len(texts)), [(r.a, r.b) for r in s.similar_links(docs, sample=10**9).collect()])
+    assert got == groups_of(range(len(texts)), brute_links(texts))
+    assert max(n for names, n in rows if names[:2] == ["a", "b"]) < 4 * len(texts)
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(s, "SLICE", 20)
+    monkeypatch.setattr(s, "WHOLE", 1)
+    rng = random.Random(9)
+    texts = edited_copies(rng, 24, 60) + edited_copies(rng, 4, 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    got = groups_of(range(len(texts)), [(r.a, r.b) for r in s.similar_links(docs, run_of=40, sample=10**9).collect()])
+    assert got == groups_of(range(len(texts)), brute_links(texts))

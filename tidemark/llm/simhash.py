@@ -17,7 +17,9 @@ component's name is the least doc_id in it that is not null (null if there is no
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ SEED, RADIUS, BUCKET = 42, 3, 1024
 SHINGLE, SIMILARITY = 5, 0.8
 #: Its join: nodes of a hash that meet in pairs, texts of which one is counted for the order, hashes ordered by count, side of a tile, least width of a sketch.
 RUN, SAMPLE, ORDERED, TILE, WIDTH = 64, 8, 100_000, 1024, 64
+#: Rows with sketches, rows with whole sets (or pairs to verify) a text that are on disk at once; what is more is done in slices.
+SLICE, WHOLE = 8, 0.25
 BLOCK = 1 << 17
 #: Hot variant keys up to this many are sent to every task; beyond it they are joined.
 BROADCAST_KEYS = 100_000
@@ -262,51 +266,83 @@ def _prefix(s: np.ndarray, similarity: float, common: np.ndarray, counts: np.nda
     return s[first][rare].view(np.int64), s[first][~rare].view(np.int64)
 
 
-def _meet(similarity: float, run_of: int):
-    """a, b, t, star: pairs of nodes with an equal t that may be similar, t null, star where one is the least node of its run; of a run of
-    over run_of nodes the pairs with its least node, t kept.
+def _runs(names: Sequence[str], flush: Callable[..., Iterator[pa.RecordBatch]]):
+    """flush of the columns called names, with where the runs of equal values of the first begin and their lengths; the partition comes sorted by it."""
 
-    The partition comes sorted by t. A pair's first common hash leaves enough of both sets behind it, so no similar pair is lost by that test.
-    """
-    names = ["a", "b", "t", "star"]
-
-    def flush(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        t, node, size, pos = cols
+    def whole(cols: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        t = cols[0].to_numpy()
         new = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        length = np.diff(np.append(new, len(t)))
-        found = [np.zeros((3, 0), dtype=np.int64)]
-        for k in np.unique(length[(length > 1) & (length <= run_of)]):
-            i, j = np.triu_indices(k, 1)
-            s = new[length == k]
-            least = node[s[:, None] + np.arange(k)].min(axis=1)
-            x, y, hub = (s[:, None] + i).ravel(), (s[:, None] + j).ravel(), np.repeat(least, len(i))
-            near = np.minimum(size[x] - pos[x], size[y] - pos[y]) * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-6
-            x, y, hub = node[x[near]], node[y[near]], hub[near]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.minimum(x, y) == hub]))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[2] > 0)], names=names)
-        for s, k in zip(new[length > run_of], length[length > run_of], strict=True):
-            some = node[s : s + k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, some.min())), pa.array(some), pa.array(t[s : s + k]), pa.array(np.ones(k, bool))], names=names)
+        yield from flush(new, np.diff(np.append(new, len(t))), *cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = []
+        rest: list[pa.Array] = []
         for batch in batches:
-            t, node, place = (batch.column(c).to_numpy() for c in ("t", "node", "place"))
-            cols = [t, node, place >> 32, place & 0xFFFFFFFF]
-            if not len(cols[0]):
+            if not batch.num_rows:
                 continue
-            rest = [np.concatenate(x) for x in zip(rest, cols, strict=True)] if rest else cols
-            last = np.searchsorted(rest[0], rest[0][-1])  # the last run may go on in the next batch
+            cols = [batch.column(c) for c in names]
+            rest = [pa.concat_arrays(x) for x in zip(rest, cols, strict=True)] if rest else cols
+            t = rest[0].to_numpy()
+            last = int(np.searchsorted(t, t[-1]))  # the last run may go on in the next batch
             if last:
-                yield from flush([x[:last] for x in rest])
-                rest = [x[last:] for x in rest]
+                yield from whole([c[:last] for c in rest])
+                rest = [c[last:] for c in rest]
         if rest:
-            yield from flush(rest)
+            yield from whole(rest)
 
     return run
 
 
+def _shared(run_of: int):
+    """t, node, place, least of the rows that are not alone with their t; least: the run's least node where the run has over run_of nodes, else null."""
+
+    def flush(new: np.ndarray, length: np.ndarray, *cols: pa.Array) -> Iterator[pa.RecordBatch]:
+        least = np.repeat(np.minimum.reduceat(cols[1].to_numpy(), new), length)
+        of = np.repeat(length, length)
+        rows = pa.RecordBatch.from_arrays([*cols, pa.array(least, mask=of <= run_of)], names=["t", "node", "place", "least"])
+        yield rows.filter(pa.array(of > 1))
+
+    return _runs(["t", "node", "place"], flush)
+
+
+def _near(size: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether a pair's first common hash leaves enough of both sets behind it; no similar pair is lost by that test."""
+    return np.minimum(size[x] - pos[x], size[y] - pos[y]) * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-6
+
+
+def _meet(similarity: float, star: bool):
+    """a, b: pairs of nodes with an equal t, in different components, that may be similar by size, place and sketch; if star only those with the least node of their run."""
+
+    def flush(new: np.ndarray, length: np.ndarray, t: pa.Array, node: pa.Array, place: pa.Array, label: pa.Array, sketch: pa.Array) -> Iterator[pa.RecordBatch]:
+        node, place, label = (c.to_numpy() for c in (node, place, label))
+        size, pos = place >> 32, place & 0xFFFFFFFF
+        width, rows = _by_width(sketch)
+        at = np.zeros(len(node), dtype=np.int64)
+        for w in rows:
+            at[width == w] = np.arange(len(rows[w]))
+        found = [np.zeros((2, 0), dtype=np.int64)]
+        for k in np.unique(length[length > 1]):
+            every = new[length == k]
+            i, j = np.triu_indices(k, 1)
+            for s in np.array_split(every, -(-len(every) * len(i) // BLOCK)):
+                x, y = (s[:, None] + i).ravel(), (s[:, None] + j).ravel()
+                keep = (label[x] != label[y]) & _near(size, pos, x, y, similarity)
+                if star:
+                    hub = np.repeat(node[s[:, None] + np.arange(k)].min(axis=1), len(i))
+                    keep &= (node[x] == hub) | (node[y] == hub)
+                x, y = x[keep], y[keep]
+                for w in rows:
+                    for v in rows:
+                        some = (width[x] == w) & (width[y] == v)
+                        a, b = x[some], y[some]
+                        may = _may_be_similar(rows[w][at[a]], rows[v][at[b]], similarity)
+                        a, b = node[a[may]], node[b[may]]
+                        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return _runs(["t", "node", "place", "label", "sketch"], flush)
+
+
 def _sketch(s: np.ndarray) -> np.ndarray:
     """How many hashes of the sorted set s fall in each of WIDTH, or for larger sets 4, 16, ... times as many, equal ranges of hashes."""
     width = WIDTH
@@ -402,22 +438,36 @@ def _tile(similarity: float):
     return run
 
 
-def _tiles(own: DataFrame, value: DataFrame, tile: int) -> DataFrame:
-    """Rows of own (node, label, g) with their value, dealt to tiles (g, i, j) of about tile odd rows, those outside the group's largest component, and tile rows of all."""
+def _tiles(own: DataFrame, value: DataFrame, tile: int, at_once: float, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Distinct rows that work gives on tiles of rows of own (node, label, g) with their value.
+
+    A tile (g, i, j) has about tile odd rows of a group, those outside its largest component, and about tile rows of all. As every odd row
+    meets all, rows are copied to many tiles: no more than about at_once copies are made before they are worked off.
+    """
     sizes = own.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("k"))
-    sizes = materialize(sizes.select("g", F.col("m.label").alias("main"), F.ceil(F.col("k") / tile).alias("nj"), F.ceil((F.col("k") - F.col("m.k")) / tile).alias("ni")).where("ni > 0"))
+    sizes = sizes.select("g", F.col("m.label").alias("main"), "k", (F.col("k") - F.col("m.k")).alias("o")).where("o > 0")
+    sizes = materialize(sizes.withColumns({"nj": F.ceil(F.col("k") / tile), "ni": F.ceil(F.col("o") / tile)}))
+    copies = sizes.agg(F.sum(F.expr("k * ni + o * nj"))).first()[0] or 0
     rows = own.join(sizes, "g").join(value, "node").withColumn("h", F.xxhash64("node"))
     named = ["node", "label", *[c for c in value.columns if c != "node"]]
     every = rows.select("g", F.explode(F.expr("sequence(0L, ni - 1)")).alias("i"), F.expr("pmod(h, nj)").alias("j"), F.lit(False).alias("odd"), *named)
     odd = rows.where("label <> main").select("g", F.expr("pmod(h, ni)").alias("i"), F.explode(F.expr("sequence(0L, nj - 1)")).alias("j"), F.lit(True).alias("odd"), *named)
-    return every.union(odd)
+    both, out = every.union(odd), []
+    slices = max(1, math.ceil(copies / max(at_once, 1)))
+    for r in range(slices):
+        some = both if slices == 1 else both.where(F.pmod(F.xxhash64("g", "i", "j"), F.lit(slices)) == r)
+        out.append(materialize(some.groupBy("g", "i", "j").applyInArrow(work, schema).distinct()))
+    done = materialize(reduce(DataFrame.union, out).distinct()) if slices > 1 else out[0]
+    discard(sizes, *(out if slices > 1 else ()))
+    return done
 
 
-def _across(hot: DataFrame, verified: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, tile: int) -> DataFrame | None:
+def _across(hot: DataFrame, verified: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, tile: int, texts: int) -> DataFrame | None:
     """a, b: similar pairs between the components of the verified links, of nodes that share a hash of hot (a: its least node, b, t).
 
-    Nodes tied by such hashes are a group. All its nodes outside its largest component meet all its nodes, in tiles of about tile x tile:
-    first their sketches, then the whole sets of the nodes that have a likely partner. A tile gives no more than one link a row and component.
+    Nodes tied by such hashes are a group, parted by size: similar sets are in one band of sizes or in neighbouring ones, and a part holds
+    two bands. All its nodes outside its largest component meet all its nodes, in tiles of about tile x tile: first their sketches, then
+    the whole sets of the nodes that have a likely partner. A tile gives no more than one link a row and component.
     """
     label = materialize(components(verified))
     named = materialize(hot.select("t", "a", F.col("b").alias("node")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
@@ -427,22 +477,28 @@ def _across(hot: DataFrame, verified: DataFrame, sketches: DataFrame, sets_of: C
         return None
     left = materialize(named.join(F.broadcast(open_) if n_open <= BROADCAST_KEYS else open_, "t", "left_semi").select("a", "node", "label").distinct())
     group = components(left.select("a", F.col("node").alias("b")))
-    own = materialize(left.select("node", F.col("label").alias("c")).distinct().join(group, "node", "left").select("node", F.col("c").alias("label"), F.coalesce("label", "node").alias("g")))
-    likely = materialize(_tiles(own, sketches, tile).groupBy("g", "i", "j").applyInArrow(_sift_tile(similarity), "node long").distinct())
+    own = left.select("node", F.col("label").alias("c")).distinct().join(group, "node", "left").select("node", F.col("c").alias("label"), F.coalesce("label", "node").alias("g"))
+    # a little wider than the similarity, so that rounding parts no pair
+    band = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(1.001 / similarity)) if similarity < 1 else F.col("size")
+    own = materialize(own.join(sketches.select("node", band.alias("z")), "node").select("node", "label", F.explode(F.array(F.xxhash64("g", "z"), F.xxhash64("g", F.col("z") + 1))).alias("g")))
+    likely = _tiles(own, sketches.select("node", "sketch"), tile, SLICE * texts, _sift_tile(similarity), "node long")
     whole = sets_of(likely)
-    pairs = materialize(_tiles(materialize(own.join(likely, "node", "left_semi")), whole, tile).groupBy("g", "i", "j").applyInArrow(_tile(similarity), "a long, b long").distinct())
-    discard(label, named, open_, left, own, likely, whole)
+    few = materialize(own.join(likely, "node", "left_semi"))
+    pairs = _tiles(few, whole, tile, WHOLE * texts, _tile(similarity), "a long, b long")
+    discard(label, named, open_, left, own, likely, whole, few)
     return pairs
 
 
-def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, only: DataFrame | None = None, run_of: int = RUN, sample: int = SAMPLE, tile: int = TILE) -> DataFrame:
+def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, only: DataFrame | None = None, known: DataFrame | None = None, run_of: int = RUN, sample: int = SAMPLE, tile: int = TILE) -> DataFrame:
     """a, b: pairs of nodes of texts (node, text; node distinct) with that Jaccard similarity of n-word shingles, enough to connect all that are connected.
 
-    only: the nodes to compare, if not all; joined to the prefixes, not to the texts.
+    only: the nodes to compare, if not all; joined to the prefixes, not to the texts. known: links (a, b) that hold already; pairs
+    that they connect are not tried, and the result has them too.
 
-    An exact prefix-filter join: similar sets share one of their rarest hashes. Nodes of a hash in up to run_of prefixes meet in pairs; of
-    a more common one all meet its least node first, then only those that are still in different components meet (_across). Pairs whose
-    sketches leave no room for the similarity go; the others are verified on their whole sets, those with a run's least node first.
+    An exact prefix-filter join: similar sets share one of their rarest hashes. Nodes of a hash in up to run_of prefixes meet: each the
+    least one first, then all that are still in different components. Of a more common hash all meet its least node too, then only those
+    still in different components (_across). Pairs whose sketches leave no room for the similarity go where they meet, before they are
+    written; the others are verified on their whole sets. What grows faster than the texts is done in slices of SLICE or WHOLE rows a text.
     Which hashes count as common, from one text in sample, orders the work and leaves the result alone.
     """
 
@@ -466,16 +522,38 @@ def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILA
 
     own = texts.select("node", "text").mapInArrow(prefixes, "node long, size long, rare array<long>, hot array<long>, sketch binary")
     own = materialize(own if only is None else own.join(only, "node", "left_semi"))
-    sketches = materialize(own.select("node", "sketch"))
+    sketches = materialize(own.select("node", "size", "sketch"))
+    n_texts = sketches.count()
     rare = own.select("node", "size", F.posexplode("rare").alias("pos", "t")).select("t", "node", F.expr("shiftleft(size, 32) + pos").alias("place"))  # narrow rows: they are the largest shuffle but the texts
-    met = rare.repartition("t").sortWithinPartitions("t").mapInArrow(_meet(similarity, run_of), "a long, b long, t long, star boolean")
+    shared = materialize(rare.repartition("t").sortWithinPartitions("t").mapInArrow(_shared(run_of), "t long, node long, place long, least long"))
     hot = own.select("node", F.explode("hot").alias("t"))
     least = hot.groupBy("t").agg(F.min("node").alias("a"))  # at most ORDERED rows
-    met = materialize(met.union(hot.join(F.broadcast(least), "t").select("a", F.col("node").alias("b"), "t", F.lit(True))))
+    crowd = shared.where("least is not null").select(F.col("least").alias("a"), F.col("node").alias("b"), "t")
+    crowd = materialize(crowd.union(hot.join(F.broadcast(least), "t").select("a", F.col("node").alias("b"), "t")))
     discard(own)
-    pairs = met.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star"))
-    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    pairs = materialize(both.select("a", "b", "star", "x", "y").mapInArrow(_sifted(similarity), "a long, b long, star boolean"))
+    few = shared.where("least is null")
+    slices = max(1, math.ceil(few.count() / max(SLICE * n_texts, 1)))
+
+    def labelled(some: DataFrame, label: DataFrame, node: str, into: str) -> DataFrame:
+        return some.join(label.select(F.col("node").alias(node), F.col("label").alias(into)), node, "left").withColumn(into, F.coalesce(into, node))
+
+    def meet(label: DataFrame, star: bool) -> DataFrame:
+        """Pairs of shared hashes between components that may be similar."""
+        of = materialize(labelled(sketches.drop("size"), label, "node", "label"))
+        out = []
+        for r in range(slices):
+            some = few if slices == 1 else few.where(F.pmod("t", F.lit(slices)) == r)
+            rows = some.join(of, "node").select("t", "node", "place", "label", "sketch").repartition("t").sortWithinPartitions("t")
+            out.append(materialize(rows.mapInArrow(_meet(similarity, star), "a long, b long").distinct()))
+        pairs = materialize(reduce(DataFrame.union, out).distinct()) if slices > 1 else out[0]
+        discard(of, *(out if slices > 1 else ()))
+        return pairs
+
+    def sift(some: DataFrame, label: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those between components that may be similar."""
+        apart = labelled(labelled(some, label, "a", "x"), label, "b", "y").where("x <> y").select("a", "b").distinct()
+        both = apart.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+        return materialize(both.select("a", "b", F.lit(True).alias("star"), "x", "y").mapInArrow(_sifted(similarity), "a long, b long, star boolean").select("a", "b"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -486,29 +564,50 @@ def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILA
         few = F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed.hint("merge")
         return materialize(texts.join(few, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<long>"))
 
-    def verify(some: DataFrame) -> DataFrame:
-        needed = materialize(some.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        whole = sets_of(needed)
-        both = some.join(whole.select(F.col("node").alias("a"), "s"), "a").join(whole.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
-        shared = F.size(F.array_intersect("s", "t"))
-        out = materialize(both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b"))
-        discard(needed, whole)
-        return out
+    def verify(every: DataFrame) -> DataFrame:
+        slices, out = max(1, math.ceil(every.count() / max(WHOLE * n_texts, 1))), []
+        for r in range(slices):
+            some = every if slices == 1 else every.where(F.pmod(F.xxhash64("a"), F.lit(slices)) == r)
+            needed = materialize(some.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+            whole = sets_of(needed)
+            both = some.join(whole.select(F.col("node").alias("a"), "s"), "a").join(whole.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
+            common = F.size(F.array_intersect("s", "t"))
+            out.append(materialize(both.where(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")))
+            discard(needed, whole)
+        return reduce(DataFrame.union, out)
 
     # the pairs with the least node of a run settle most; of the others only those between components are left to compare
-    verified = verify(pairs.where("star").select("a", "b"))
-    label = materialize(components(verified))
-    far = pairs.where("not star").join(label.select(F.col("node").alias("a"), F.col("label").alias("x")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left")
-    others = materialize(far.where("coalesce(x, a) <> coalesce(y, b)").select("a", "b"))
-    verified = verified.union(verify(others))
-    discard(pairs, label, others)
-    more = _across(met.where("t is not null"), verified, sketches, sets_of, similarity, tile)
-    discard(sketches, met)
-    return verified if more is None else verified.union(more)
-
-
-def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, all columns, one of each group of exact or near copies: the one of least doc_id (null last)."""
+    first = materialize(components(known)) if known is not None else texts.sparkSession.createDataFrame([], "node long, label long")
+    stars, ties = meet(first, True), sift(crowd.select("a", "b").where("a <> b"), first)
+    found = verify(stars.union(ties).distinct())
+    found = found if known is None else known.union(found)
+    label = materialize(components(found))
+    others = meet(label, False)
+    found = found.union(verify(others))
+    discard(label, stars, ties, others, shared)
+    more = _across(crowd, found, sketches, sets_of, similarity, tile, n_texts)
+    discard(sketches, crowd)
+    return found if more is None else found.union(more)
+
+
+def simhash_links(texts: DataFrame, only: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """a, b: the links of operator 5 between nodes of texts (node, text) that are in only: nodes of one fingerprint, and of two within RADIUS bits."""
+    own = fingerprints(texts.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), "fp")
+    own = materialize(own.join(only, "node", "left_semi"))
+    fps = materialize(own.groupBy("fp").agg(F.min("node").alias("a")))
+    near = materialize(links(fps.select(F.lit(0).cast("long").alias("r"), "fp"), bucket))
+    between = near.select(F.col("a").alias("fp"), F.col("b").alias("other")).join(fps, "fp").select("a", F.col("other").alias("fp")).join(fps.withColumnRenamed("a", "b"), "fp").select("a", "b")
+    out = materialize(own.join(fps, "fp").where("a <> node").select("a", F.col("node").alias("b")).union(between))
+    discard(own, fps, near)
+    return out
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, by_simhash: bool = False) -> DataFrame:
+    """The documents, all columns, one of each group of exact or near copies: the one of least doc_id (null last).
+
+    by_simhash: texts link first as in operator 5, by SimHash fingerprints within RADIUS bits; pairs of that Jaccard similarity whose
+    fingerprints lie further apart are found by the exact join, between the groups that SimHash leaves. Else by the exact join alone.
+    """
     names = docs.columns
     keyed = materialize(docs.withColumn("_sh_row", F.monotonically_increasing_id()))
     ids = keyed.select("_sh_row", F.col("doc_id").cast("long").alias("_d"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("_t"))
@@ -516,11 +615,12 @@ def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: float =
     order = F.struct(F.col("_d").isNull(), "_d", "_sh_row")
     firsts = materialize(ids.groupBy("_t").agg(F.min(order).alias("o")).select(F.col("o._sh_row").alias("node"), F.col("o._d").alias("d")))
     texts = keyed.select(F.col("_sh_row").alias("node"), F.col("text").cast("string").alias("text"))
-    label = components(similar_links(texts, n, similarity, only=firsts.select("node")))
+    known = simhash_links(texts, firsts.select("node")) if by_simhash else None
+    label = components(similar_links(texts, n, similarity, only=firsts.select("node"), known=known))
     named = firsts.join(label, "node", "left").select("node", "d", F.coalesce("label", "node").alias("label"))
     stay = named.groupBy("label").agg(F.min(F.struct(F.col("d").isNull(), "d", "node")).alias("o")).select(F.col("o.node").alias("_sh_row"))
     stay = materialize(stay)
-    discard(firsts, label)
+    discard(firsts, label, *([known] if by_simhash else []))
     return keyed.join(stay.hint("merge"), "_sh_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
 
 
