@@ -2,7 +2,7 @@ import random
 import re
 
 import corpus_pipeline
-from tidemark.llm import packing, pii_crf
+from tidemark.llm import packing, pii_crf, simhash
 from tokenizers import Tokenizer
 
 
@@ -54,3 +54,17 @@ def test_stages_against_what_was_planted(tmp_path, spark):
 def test_run_gives_the_same_rows(tmp_path, spark):
     tables(tmp_path, spark)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} >= {20, 4000}
+
+
+def test_near_duplicates_go_by_simhash_and_by_the_exact_join(tmp_path, spark):
+    rng = random.Random(6)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    often = " ".join(say(8) * 40)  # sets the fingerprint, as its shingles count with their repeats, but adds few to the set
+    x, y = (f"{often} {' '.join(say(30))}" for _ in "xy")
+    base = say(80)
+    z, v = " ".join(base), " ".join([*base[:30], "new", "newer", *base[32:]])
+    assert bin(simhash.fingerprint(x) ^ simhash.fingerprint(y)).count("1") <= 3 < bin(simhash.fingerprint(z) ^ simhash.fingerprint(v)).count("1")
+    a, b = (set(simhash.shingle_set(t, 5).tolist()) for t in (x, y))
+    assert len(a & b) < 0.8 * len(a | b)
+    docs = spark.createDataFrame([(1, x), (2, y), (3, z), (4, v), (5, " ".join(say(80)))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3, 5]
