@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -106,3 +107,18 @@ def test_encode_then_decode_keep_other_columns(spark):
     got = s.decode(s.encode(docs)).orderBy("doc_id").collect()
     assert got[0].asDict() == {"doc_id": 1, "text": "one  two", "a.b c": [1, 2], "ids": LIBRARY.encode("one  two"), "decoded": "one  two"}
     assert (got[1].ids, got[1].decoded) == ([], "")
+
+
+def test_ids_are_decoded_from_the_encoders_lists():
+    class Table:
+        def encode(self, text):
+            self.ids = [len(text or ""), 7] if text else []
+            return self.ids
+
+        def decode(self, ids):
+            assert ids is self.ids
+            return f"{ids}"
+
+    ids, decoded = s._both(Table(), pa.array(["abc", None, "", "é"]))
+    assert ids.type == pa.list_(pa.int32()) and ids.to_pylist() == [[3, 7], [], [], [1, 7]] and decoded.to_pylist() == ["[3, 7]", "[]", "[]", "[1, 7]"]
+    assert [x.to_pylist() for x in s._both(Table(), pa.array([], pa.string()))] == [[], []]

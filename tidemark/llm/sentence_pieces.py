@@ -17,7 +17,8 @@ Defined cases: a null text is empty, an empty text has no ids; other columns are
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain, pairwise
 
 import ahocorasick
@@ -182,14 +183,36 @@ def _mapped(docs: DataFrame, source: Column, added: dict[str, str], make: Callab
     return rows.mapInArrow(run, schema).toDF(*(f.name for f in fields), *added)
 
 
+def _lists(rows: Iterable[list[int]]) -> pa.Array:
+    """Lists of ids as one flat array and its offsets; no list is kept once it is copied."""
+    flat, ends = array("i"), [0]
+    for ids in rows:
+        flat.fromlist(ids)
+        ends.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()) if not flat else pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
+
+
 def _encoded(table: PrefixTable, texts: pa.Array) -> pa.Array:
-    return pa.array([table.encode(t.as_py()) for t in texts], pa.list_(pa.int32()))
+    return _lists(table.encode(t.as_py()) for t in texts)
 
 
 def _decoded(table: PrefixTable, ids: pa.Array) -> pa.Array:
     return pa.array([table.decode(x.values.to_pylist()) if x.is_valid else "" for x in ids], pa.string())
 
 
+def _both(table: PrefixTable, texts: pa.Array) -> list[pa.Array]:
+    """Ids of texts and their decoding, from the encoder's own lists: ids do not go to Arrow and back in between."""
+    decoded: list[str] = []
+
+    def rows() -> Iterator[list[int]]:
+        for text in texts:
+            ids = table.encode(text.as_py())
+            decoded.append(table.decode(ids))
+            yield ids
+
+    return [_lists(rows()), pa.array(decoded, pa.string())]
+
+
 def encode(docs: DataFrame, text: str = "text", into: str = "ids", path: str | None = None) -> DataFrame:
     """docs and the ids of their text."""
     return _mapped(docs, F.col(text).cast("string"), {into: "array<int>"}, lambda table, x: [_encoded(table, x)], path)
@@ -202,12 +225,7 @@ def decode(docs: DataFrame, ids: str = "ids", into: str = "decoded", path: str |
 
 def round_trip(docs: DataFrame, text: str = "text", into: tuple[str, str] = ("ids", "decoded"), path: str | None = None) -> DataFrame:
     """docs, the ids of their text and the text of these ids, in one pass."""
-
-    def make(table: PrefixTable, texts: pa.Array) -> list[pa.Array]:
-        ids = _encoded(table, texts)
-        return [ids, _decoded(table, ids)]
-
-    return _mapped(docs, F.col(text).cast("string"), dict(zip(into, ("array<int>", "string"), strict=True)), make, path)
+    return _mapped(docs, F.col(text).cast("string"), dict(zip(into, ("array<int>", "string"), strict=True)), _both, path)
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
