@@ -35,7 +35,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Its join: nodes of a hash that meet in pairs, texts of which one is counted for the order, hashes ordered by count, side of a tile, least width of a sketch.
 RUN, SAMPLE, ORDERED, TILE, WIDTH = 64, 8, 100_000, 1024, 64
 #: Rows with sketches, rows with whole sets (or pairs to verify) a text that are on disk at once; what is more is done in slices.
-SLICE, WHOLE = 8, 0.25
+SLICE, WHOLE = 3, 0.25
 BLOCK = 1 << 17
 #: Hot variant keys up to this many are sent to every task; beyond it they are joined.
 BROADCAST_KEYS = 100_000
