@@ -247,3 +247,29 @@ def test_slices_change_nothing(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
     got = groups_of(range(len(texts)), [(r.a, r.b) for r in s.similar_links(docs, run_of=40, sample=10**9).collect()])
     assert got == groups_of(range(len(texts)), brute_links(texts))
+
+
+def test_only_texts_in_company_get_sketches_and_no_similar_pair_is_parted(spark, monkeypatch):
+    rng = random.Random(10)
+    lines = [" ".join(f"s{i}x{j}" for j in range(12)) for i in range(40)]
+    alone = [" ".join([rng.choice(lines), *(f"n{rng.randrange(10**6)}" for _ in range(150)), rng.choice(lines)]) for _ in range(120)]
+    texts = alone + edited_copies(rng, 12, 150) + [alone[0] + " end", "", "  ", "a b", "A b"]
+    rows, write = [], s.materialize
+
+    def counted(df):
+        out = write(df)
+        rows.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(s, "materialize", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    links = brute_links(texts)
+    got = groups_of(range(len(texts)), [(r.a, r.b) for r in s.similar_links(docs).collect()])
+    assert got == groups_of(range(len(texts)), links)
+    assert max(n for names, n in rows if "sketch" in names) <= len({i for e in links for i in e}) + 10
+    for similarity in (0.5, 0.8, 1.0):
+        sets = [set(s.shingle_set(t, 5).tolist()) for t in texts]
+        near = {i for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and len(x & y) >= similarity * len(x | y)}
+        for common in (set(), set(rng.sample(sorted(set().union(*sets)), 300))):
+            left = s._in_company(docs, len(texts), 5, similarity, np.array(sorted(common), dtype=np.uint64), docs.select("node"))
+            assert near <= {r.node for r in left.collect()}

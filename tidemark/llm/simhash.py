@@ -292,51 +292,140 @@ def _runs(names: Sequence[str], flush: Callable[..., Iterator[pa.RecordBatch]]):
     return run
 
 
-def _shared(run_of: int):
-    """t, node, place, least of the rows that are not alone with their t; least: the run's least node where the run has over run_of nodes, else null."""
+def _shared(run_of: int, similarity: float):
+    """t, node, place, least, many, star of the rows that are not alone with their t. least: the run's least node; many: whether it has over run_of nodes; star: whether the row may be similar to least, by size and place."""
 
     def flush(new: np.ndarray, length: np.ndarray, *cols: pa.Array) -> Iterator[pa.RecordBatch]:
-        least = np.repeat(np.minimum.reduceat(cols[1].to_numpy(), new), length)
-        of = np.repeat(length, length)
-        rows = pa.RecordBatch.from_arrays([*cols, pa.array(least, mask=of <= run_of)], names=["t", "node", "place", "least"])
+        node, place = cols[1].to_numpy(), cols[2].to_numpy()
+        least = np.repeat(np.minimum.reduceat(node, new), length)
+        of, here = np.repeat(length, length), np.arange(len(node))
+        hub = np.repeat(np.maximum.reduceat(np.where(node == least, here, 0), new), length)
+        star = (node != least) & _near(place >> 32, place & 0xFFFFFFFF, here, hub, similarity)
+        rows = pa.RecordBatch.from_arrays([*cols, pa.array(least), pa.array(of > run_of), pa.array(star)], names=["t", "node", "place", "least", "many", "star"])
         yield rows.filter(pa.array(of > 1))
 
     return _runs(["t", "node", "place"], flush)
 
 
+def _is_in(s: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which of s are in the sorted array among."""
+    at = np.searchsorted(among, s)
+    return among[np.minimum(at, len(among) - 1)] == s if len(among) else np.zeros(len(s), dtype=bool)
+
+
+def _quarter(n: int, similarity: float, r: int, common: np.ndarray):
+    """t, node, need of texts (node, text, spare): the hashes of a text in the rth quarter of their values that are not common, and one row with t = node.
+
+    need: how many of them must be in other texts; spare: how many of a text may yet be in no other (null: none was looked at).
+    """
+
+    def rows_of(some: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        size = [len(t) + 1 for _, _, t in some]
+        node, need = (np.repeat(np.array([x[c] for x in some], dtype=np.int64), size) for c in (0, 1))
+        t = np.concatenate([np.append(t, np.int64(node)) for node, _, t in some])
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(node), pa.array(need.astype(np.int32))], names=["t", "node", "need"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some, many = [], 0
+            for node, text, spare in zip(*batch.columns, strict=True):
+                s = shingle_set(text.as_py(), n)
+                left = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) if not spare.is_valid else spare.as_py()
+                s = s[np.searchsorted(s, np.uint64(r << 62)) :]
+                s = s if r == 3 else s[: np.searchsorted(s, np.uint64((r + 1) << 62))]
+                t = s[~_is_in(s, common)].view(np.int64)
+                some.append((node.as_py(), len(t) - left, t))
+                many += len(t) + 1
+                if many >= BLOCK:
+                    yield rows_of(some)
+                    some, many = [], 0
+            if some:
+                yield rows_of(some)
+
+    return run
+
+
+def _met():
+    """node, need of the rows that are not alone with their t, and of those with t = node."""
+
+    def flush(new: np.ndarray, length: np.ndarray, t: pa.Array, node: pa.Array, need: pa.Array) -> Iterator[pa.RecordBatch]:
+        keep = (np.repeat(length, length) > 1) | (t.to_numpy() == node.to_numpy())
+        yield pa.RecordBatch.from_arrays([node, need], names=["node", "need"]).filter(pa.array(keep))
+
+    return _runs(["t", "node", "need"], flush)
+
+
+def _in_company(texts: DataFrame, n_texts: int, n: int, similarity: float, common: np.ndarray, only: DataFrame | None) -> DataFrame:
+    """node (and spare) of the texts that may be similar to another, of those in only.
+
+    A set shares at least that part of its hashes with a similar one, so a text goes as soon as more of its hashes than the rest are in no
+    other text. They are looked at by quarters of their values. A text that went is similar to none, so it counts no more in the next
+    quarter, and no link is lost by that. A quarter that leaves over three fourths of the texts is the last.
+    """
+    left = None
+    for r in range(4):
+        some = texts.select("node", "text", F.lit(None).cast("int").alias("spare")) if left is None else texts.join(_few(left, n_left), "node").select("node", "text", "spare")
+        rows = some.mapInArrow(_quarter(n, similarity, r, common), "t long, node long, need int").repartition("t").sortWithinPartitions("t").mapInArrow(_met(), "node long, need int")
+        now = rows.groupBy("node").agg((F.count(F.lit(1)) - 1 - F.max("need")).cast("int").alias("spare")).where("spare >= 0")
+        now = materialize(now if only is None or r else now.join(only, "node", "left_semi"))
+        discard(*([left] if r else []))
+        left, before, n_left = now, n_left if r else n_texts, now.count()
+        if 4 * n_left > 3 * before:
+            break
+    return left
+
+
+def _few(nodes: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(nodes) if n <= BROADCAST_KEYS else nodes.hint("merge")
+
+
 def _near(size: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
     """Whether a pair's first common hash leaves enough of both sets behind it; no similar pair is lost by that test."""
     return np.minimum(size[x] - pos[x], size[y] - pos[y]) * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-6
 
 
-def _meet(similarity: float, star: bool):
-    """a, b: pairs of nodes with an equal t, in different components, that may be similar by size, place and sketch; if star only those with the least node of their run."""
+def _pairs(new: np.ndarray, length: np.ndarray, place: np.ndarray, label: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows x, y of the same run and different labels that may be similar by size and place."""
+    size, pos = place >> 32, place & 0xFFFFFFFF
+    for k in np.unique(length[length > 1]):
+        every = new[length == k]
+        i, j = np.triu_indices(k, 1)
+        for s in np.array_split(every, -(-len(every) * len(i) // BLOCK)):
+            x, y = (s[:, None] + i).ravel(), (s[:, None] + j).ravel()
+            keep = (label[x] != label[y]) & _near(size, pos, x, y, similarity)
+            yield x[keep], y[keep]
+
+
+def _open(similarity: float):
+    """The rows that may be similar, by size and place, to one of their run in another component."""
+
+    def flush(new: np.ndarray, length: np.ndarray, *cols: pa.Array) -> Iterator[pa.RecordBatch]:
+        keep = np.zeros(len(cols[0]), dtype=bool)
+        for x, y in _pairs(new, length, cols[2].to_numpy(), cols[3].to_numpy(), similarity):
+            keep[x] = keep[y] = True
+        yield pa.RecordBatch.from_arrays(list(cols), names=["t", "node", "place", "label"]).filter(pa.array(keep))
+
+    return _runs(["t", "node", "place", "label"], flush)
+
+
+def _meet(similarity: float):
+    """a, b: pairs of nodes with an equal t, in different components, that may be similar by size, place and sketch."""
 
     def flush(new: np.ndarray, length: np.ndarray, t: pa.Array, node: pa.Array, place: pa.Array, label: pa.Array, sketch: pa.Array) -> Iterator[pa.RecordBatch]:
         node, place, label = (c.to_numpy() for c in (node, place, label))
-        size, pos = place >> 32, place & 0xFFFFFFFF
         width, rows = _by_width(sketch)
         at = np.zeros(len(node), dtype=np.int64)
         for w in rows:
             at[width == w] = np.arange(len(rows[w]))
         found = [np.zeros((2, 0), dtype=np.int64)]
-        for k in np.unique(length[length > 1]):
-            every = new[length == k]
-            i, j = np.triu_indices(k, 1)
-            for s in np.array_split(every, -(-len(every) * len(i) // BLOCK)):
-                x, y = (s[:, None] + i).ravel(), (s[:, None] + j).ravel()
-                keep = (label[x] != label[y]) & _near(size, pos, x, y, similarity)
-                if star:
-                    hub = np.repeat(node[s[:, None] + np.arange(k)].min(axis=1), len(i))
-                    keep &= (node[x] == hub) | (node[y] == hub)
-                x, y = x[keep], y[keep]
-                for w in rows:
-                    for v in rows:
-                        some = (width[x] == w) & (width[y] == v)
-                        a, b = x[some], y[some]
-                        may = _may_be_similar(rows[w][at[a]], rows[v][at[b]], similarity)
-                        a, b = node[a[may]], node[b[may]]
-                        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        for x, y in _pairs(new, length, place, label, similarity):
+            for w in rows:
+                for v in rows:
+                    some = (width[x] == w) & (width[y] == v)
+                    a, b = x[some], y[some]
+                    may = _may_be_similar(rows[w][at[a]], rows[v][at[b]], similarity)
+                    a, b = node[a[may]], node[b[may]]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
@@ -492,9 +581,10 @@ def _across(hot: DataFrame, verified: DataFrame, sketches: DataFrame, sets_of: C
 def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, only: DataFrame | None = None, known: DataFrame | None = None, run_of: int = RUN, sample: int = SAMPLE, tile: int = TILE) -> DataFrame:
     """a, b: pairs of nodes of texts (node, text; node distinct) with that Jaccard similarity of n-word shingles, enough to connect all that are connected.
 
-    only: the nodes to compare, if not all; joined to the prefixes, not to the texts. known: links (a, b) that hold already; pairs
+    only: the nodes to compare, if not all. known: links (a, b) that hold already; pairs
     that they connect are not tried, and the result has them too.
 
+    Only texts that share enough hashes with others are compared (_in_company); they are written once more, if need be all of them.
     An exact prefix-filter join: similar sets share one of their rarest hashes. Nodes of a hash in up to run_of prefixes meet: each the
     least one first, then all that are still in different components. Of a more common hash all meet its least node too, then only those
     still in different components (_across). Pairs whose sketches leave no room for the similarity go where they meet, before they are
@@ -508,7 +598,9 @@ def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILA
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), n).view(np.int64))], names=["t"])
 
     seen = texts.where(F.pmod(F.xxhash64("node"), F.lit(sample)) == 0).select("text").mapInArrow(every, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("k"))
-    top = seen.where(F.col("k") * sample > run_of).orderBy(F.desc("k"), "t").limit(ORDERED).toArrow()
+    most = materialize(seen.where(F.col("k") * sample > run_of).orderBy(F.desc("k"), "t").limit(ORDERED))
+    top = most.toArrow()
+    discard(most)
     common, counts = top.column("t").to_numpy().view(np.uint64), top.column("k").to_numpy()
     common, counts = common[np.argsort(common)], counts[np.argsort(common)]
 
@@ -520,40 +612,43 @@ def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILA
             rare, hot = (pa.array([x[c] for x in both], pa.list_(pa.int64())) for c in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), size, rare, hot, pa.array([_sketch(s).tobytes() for s in sets], pa.binary())], names=["node", "size", "rare", "hot", "sketch"])
 
-    own = texts.select("node", "text").mapInArrow(prefixes, "node long, size long, rare array<long>, hot array<long>, sketch binary")
-    own = materialize(own if only is None else own.join(only, "node", "left_semi"))
+    n_texts = texts.count()
+    company = _in_company(texts, n_texts, n, similarity, common, only)
+    texts = materialize(texts.select("node", "text").join(_few(company, company.count()), "node", "left_semi"))
+    own = materialize(texts.mapInArrow(prefixes, "node long, size long, rare array<long>, hot array<long>, sketch binary"))
     sketches = materialize(own.select("node", "size", "sketch"))
-    n_texts = sketches.count()
-    rare = own.select("node", "size", F.posexplode("rare").alias("pos", "t")).select("t", "node", F.expr("shiftleft(size, 32) + pos").alias("place"))  # narrow rows: they are the largest shuffle but the texts
-    shared = materialize(rare.repartition("t").sortWithinPartitions("t").mapInArrow(_shared(run_of), "t long, node long, place long, least long"))
+    rare = own.select("node", "size", F.posexplode("rare").alias("pos", "t")).select("t", "node", F.expr("shiftleft(size, 32) + pos").alias("place"))
+    shared = materialize(rare.repartition("t").sortWithinPartitions("t").mapInArrow(_shared(run_of, similarity), "t long, node long, place long, least long, many boolean, star boolean"))
     hot = own.select("node", F.explode("hot").alias("t"))
     least = hot.groupBy("t").agg(F.min("node").alias("a"))  # at most ORDERED rows
-    crowd = shared.where("least is not null").select(F.col("least").alias("a"), F.col("node").alias("b"), "t")
+    crowd = shared.where("many").select(F.col("least").alias("a"), F.col("node").alias("b"), "t")
     crowd = materialize(crowd.union(hot.join(F.broadcast(least), "t").select("a", F.col("node").alias("b"), "t")))
-    discard(own)
-    few = shared.where("least is null")
-    slices = max(1, math.ceil(few.count() / max(SLICE * n_texts, 1)))
+    discard(own, company)
+    few = shared.where("not many")
 
     def labelled(some: DataFrame, label: DataFrame, node: str, into: str) -> DataFrame:
         return some.join(label.select(F.col("node").alias(node), F.col("label").alias(into)), node, "left").withColumn(into, F.coalesce(into, node))
 
-    def meet(label: DataFrame, star: bool) -> DataFrame:
-        """Pairs of shared hashes between components that may be similar."""
-        of = materialize(labelled(sketches.drop("size"), label, "node", "label"))
-        out = []
+    def sliced(rows: DataFrame, key: list[str], at_once: float, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Distinct rows that work gives on slices by key of written rows, which go."""
+        slices, out = max(1, math.ceil(rows.count() / max(at_once, 1))), []
         for r in range(slices):
-            some = few if slices == 1 else few.where(F.pmod("t", F.lit(slices)) == r)
-            rows = some.join(of, "node").select("t", "node", "place", "label", "sketch").repartition("t").sortWithinPartitions("t")
-            out.append(materialize(rows.mapInArrow(_meet(similarity, star), "a long, b long").distinct()))
-        pairs = materialize(reduce(DataFrame.union, out).distinct()) if slices > 1 else out[0]
-        discard(of, *(out if slices > 1 else ()))
-        return pairs
+            out.append(materialize(work(rows if slices == 1 else rows.where(F.pmod(F.xxhash64(*key), F.lit(slices)) == r)).distinct()))
+        done = materialize(reduce(DataFrame.union, out).distinct()) if slices > 1 else out[0]
+        discard(rows, *(out if slices > 1 else ()))
+        return done
+
+    def meet(label: DataFrame) -> DataFrame:
+        """Pairs of shared hashes between components that may be similar. Only rows with a possible partner get their sketches."""
+        rows = labelled(few, label, "node", "label").select("t", "node", "place", "label")
+        rows = materialize(rows.repartition("t").sortWithinPartitions("t").mapInArrow(_open(similarity), "t long, node long, place long, label long"))
+        return sliced(rows, ["t"], SLICE * n_texts, lambda some: some.join(sketches.drop("size"), "node").select("t", "node", "place", "label", "sketch").repartition("t").sortWithinPartitions("t").mapInArrow(_meet(similarity), "a long, b long"))
 
     def sift(some: DataFrame, label: DataFrame) -> DataFrame:
         """Of pairs (a, b), those between components that may be similar."""
-        apart = labelled(labelled(some, label, "a", "x"), label, "b", "y").where("x <> y").select("a", "b").distinct()
-        both = apart.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-        return materialize(both.select("a", "b", F.lit(True).alias("star"), "x", "y").mapInArrow(_sifted(similarity), "a long, b long, star boolean").select("a", "b"))
+        apart = materialize(labelled(labelled(some, label, "a", "x"), label, "b", "y").where("x <> y").select("a", "b").distinct())
+        x, y = (sketches.select(F.col("node").alias(c), F.col("sketch").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+        return sliced(apart, ["a", "b"], SLICE * n_texts / 2, lambda some: some.join(x, "a").join(y, "b").select("a", "b", F.lit(True).alias("star"), "x", "y").mapInArrow(_sifted(similarity), "a long, b long, star boolean").select("a", "b"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -561,8 +656,7 @@ def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILA
                 yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([shingle_set(text.as_py(), n).view(np.int64)], pa.list_(pa.int64()))], names=["node", "s"])
 
     def sets_of(needed: DataFrame) -> DataFrame:
-        few = F.broadcast(needed) if needed.count() <= BROADCAST_KEYS else needed.hint("merge")
-        return materialize(texts.join(few, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<long>"))
+        return materialize(texts.join(_few(needed, needed.count()), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, s array<long>"))
 
     def verify(every: DataFrame) -> DataFrame:
         slices, out = max(1, math.ceil(every.count() / max(WHOLE * n_texts, 1))), []
@@ -578,15 +672,16 @@ def similar_links(texts: DataFrame, n: int = SHINGLE, similarity: float = SIMILA
 
     # the pairs with the least node of a run settle most; of the others only those between components are left to compare
     first = materialize(components(known)) if known is not None else texts.sparkSession.createDataFrame([], "node long, label long")
-    stars, ties = meet(first, True), sift(crowd.select("a", "b").where("a <> b"), first)
-    found = verify(stars.union(ties).distinct())
+    hubs = few.where("star").select(F.col("least").alias("a"), F.col("node").alias("b")).union(crowd.select("a", "b").where("a <> b"))
+    stars = sift(hubs.distinct(), first)
+    found = verify(stars)
     found = found if known is None else known.union(found)
     label = materialize(components(found))
-    others = meet(label, False)
+    others = meet(label)
     found = found.union(verify(others))
-    discard(label, stars, ties, others, shared)
+    discard(label, stars, others, shared)
     more = _across(crowd, found, sketches, sets_of, similarity, tile, n_texts)
-    discard(sketches, crowd)
+    discard(texts, sketches, crowd)
     return found if more is None else found.union(more)
 
 
