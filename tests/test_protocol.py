@@ -161,6 +161,18 @@ def test_every_new_step_is_registered():
     assert set(NAMES) <= set(catalog.queries()) and all(n in STEPS for n in NAMES)
 
 
+def test_report_rounds_ties_to_even_as_its_sql(spark):
+    ties = [k / 400 for k in range(401)]  # every other one is a tie, and every other tie goes down
+    known = {"mean_sd": spark.createDataFrame([(x, 1 - x) for x in ties], "mean double, sd double"), "bootstrap_ci": spark.createDataFrame([(0.283333, 0.5625)], "lo double, hi double")}
+    con = duckdb.connect()
+    con.execute("create table mean_sd as select k / 400 as mean, 1 - k / 400 as sd from (select unnest(range(401)) as k)")
+    con.execute("create table bootstrap_ci as select 0.283333::double as lo, 0.5625::double as hi")
+    s = STEPS["report_rows"]
+    want = con.sql((s.duckdb or s.sql).format(mean_sd="mean_sd", bootstrap_ci="bootstrap_ci")).fetchall()
+    got = sorted(tuple(r) for r in frame(spark, DIR, "report_rows", known).collect())
+    assert got == sorted(want) == sorted(("centroid", f"{100 * x:.1f} ± {100 * (1 - x):.1f} [28.3, 56.2]") for x in ties)
+
+
 def test_weighted_sample_draws_from_all_subjects_and_epochs(spark):
     """1,000 subjects of one class and 10 of another: each class gets half of the 32 draws a subject, and nearly every subject and epoch is drawn."""
     subjects = spark.range(1010).selectExpr("id as subject", "if(id < 1000, 0, 1) as label")

@@ -82,7 +82,10 @@ SELECT CAST(sum(CASE WHEN d > 1e-12 THEN 1 ELSE 0 END) AS bigint) AS wins, CAST(
        CASE WHEN max(v.lo) > 0 THEN 'better' WHEN max(v.hi) < 0 THEN 'worse' ELSE 'not distinguishable' END AS verdict
 FROM (SELECT repeat, avg(ra) - avg(rb) AS d FROM (SELECT a.repeat, a.y, avg(CASE WHEN a.pred_a = a.y THEN 1e0 ELSE 0e0 END) AS ra, avg(CASE WHEN a.pred_b = a.y THEN 1e0 ELSE 0e0 END) AS rb
       FROM {paired_verdicts} a GROUP BY a.repeat, a.y) GROUP BY repeat) JOIN {paired_diff} v ON v.p_not_better >= 0""")
+# format_number rounds the number itself, half to even (56.25: 56.2); Spark's printf rounds its shortest decimals half up (56.3)
 step("report_rows", """
+SELECT 'centroid' AS model, concat(format_number(100 * m.mean, '0.0'), ' ± ', format_number(100 * m.sd, '0.0'), ' [', format_number(100 * c.lo, '0.0'), ', ', format_number(100 * c.hi, '0.0'), ']') AS balanced_accuracy
+FROM {mean_sd} m JOIN {bootstrap_ci} c ON c.hi >= c.lo""", duckdb="""
 SELECT 'centroid' AS model, printf('%.1f ± %.1f [%.1f, %.1f]', 100 * m.mean, 100 * m.sd, 100 * c.lo, 100 * c.hi) AS balanced_accuracy FROM {mean_sd} m JOIN {bootstrap_ci} c ON c.hi >= c.lo""")
 step("sorted_results", "SELECT repeat, balanced_accuracy, CAST(row_number() OVER (ORDER BY balanced_accuracy DESC, repeat) AS bigint) AS place FROM {per_repeat}")
 step("roc_points", """
